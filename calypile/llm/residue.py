@@ -32,7 +32,15 @@ HASH_BITS = 17
 ROUNDS = 4
 #: A passage counts as residue above this log-odds, and as ordinary content below it.
 CUT = 0.0
-SMOOTHING = 0.1
+SMOOTHING = 1.0
+#: Different words up to which a longer passage may be mere repetition.
+FEW_WORDS = 14
+#: A feature of fewer passages says nothing: what is seen once or twice tells only of itself.
+LEAST = 3
+#: The weight as a positive with which passages of bare short messages start.
+SUSPECT = 0.5
+#: Words of own content up to which a message without greeting and closing is bare, and short.
+BARE_WORDS, SHORT_WORDS = 60, 25
 #: Words whose hashes a task remembers; others are hashed anew each time.
 KNOWN_WORDS = 500_000
 
@@ -77,6 +85,7 @@ _ERROR = re.compile(
 _SCRIPTS = ("javascript", "java script", "script", "skript", "active content", "スクリプト", "скрипт", "σενάρια")
 _FILLER = re.compile(r"^(?:lorem ipsum|dolor sit amet|(?:bla+h?[ ,.]+){3,}|(?:x{2,}[ ,.]+){3,}|(?:foo|bar|baz)\b(?: (?:foo|bar|baz)\b){2,}|(?:dies ist )?(?:ein )?blindtext|texto de relleno|faux texte|texte factice|dummy text|your text here|text goes here)", re.I)
 _GREETING = re.compile(r"^(?:dear|hi|hello|hey|welcome|good (?:morning|afternoon|evening|day)|greetings|hallo|guten|liebe[rs]?|sehr|moin|bonjour|bonsoir|cher|chère|salut|hola|buenos|buenas|estimad[oa]s?|querid[oa]|ciao|gentile|caro|beste|здравствуйте|добрый|уважаем\w+|γεια|αγαπητ\w+)\b", re.I)
+_HONORIFIC = re.compile(r"(?:様|さん|殿)[、,]?$")
 _CLOSING = re.compile(r"^(?:kind|best|warm|many|with|yours|cheers|thanks|thank you|regards|sincerely|mit |viele |beste |freundliche|herzliche|liebe |cordialement|bien à|salutations|amicalement|merci|un saludo|saludos|atentamente|cordiali|με εκτίμηση|с уважением|よろしく|敬具)", re.I)
 _NOTICE = (
     "confidential", "addressee", "by mistake", "private and protected", "before you print", "not allowed", "vertraulich", "empfänger", "irrtum", "weitergabe",
@@ -131,7 +140,7 @@ class Passage:
         self.size = len(self.words) + wide // 4
         if text.startswith("--") or text.startswith("________"):
             self.kind = "signature"
-        elif len(self.words) <= 9 and _GREETING.match(self.low):
+        elif len(self.words) <= 9 and (_GREETING.match(self.low) or _HONORIFIC.search(text)):
             self.kind = "greeting"
         elif len(self.words) <= 10 and _CLOSING.match(self.low):
             self.kind = "closing"
@@ -143,12 +152,21 @@ class Passage:
 
     def _repeats(self) -> bool:
         """The same sentence again and again, or few different words in a long stretch."""
-        if len(self.words) >= 8 and len(set(self.words)) * 3 <= len(self.words):
-            return True
-        if self.kind != "body" or not self.text.isascii() and _WIDE.search(self.text):
+        if self.kind != "body" or self.code or (not self.text.isascii() and _WIDE.search(self.text)):
             return False
+        n = len(self.words)
+        few = len({w for w in self.words if not w.isdigit()})
+        if n >= 8 and few <= FEW_WORDS and few * 3 <= n:
+            return sum(map(str.isdigit, self.words)) * 5 < n  # tables and logs repeat words between their figures
         parts = [x for x in _SENTENCE.split(self.text) if x]
-        return len(parts) >= 2 and len(set(parts)) * 2 <= len(parts)
+        return len(parts) >= 3 and len(set(parts)) * 3 <= len(parts)
+
+    def filler(self) -> bool:
+        """Known filler, repetition, or words typed on neighbouring keys."""
+        if self.repeats or _FILLER.match(self.low):
+            return True
+        words = set(self.words)
+        return len(words) >= 6 and sum(len(w) > 2 and _KEYS.issuperset(w) for w in words) >= 0.8 * len(words)
 
     def says(self) -> bool:
         """An error page's or a script notice's own line, or filler."""
@@ -169,8 +187,8 @@ def word_tokens(word: str) -> tuple[str, ...]:
     return (word, "~" + word[-3:], *keys) if len(word) > 3 else (word, *keys)
 
 
-def read(text: str | None, tokens=word_tokens) -> list[tuple[set, int, int, bool]]:
-    """(features, slots, trusted, ordinary candidate) of each passage of a message's own text; equal passages count once.
+def read(text: str | None, tokens=word_tokens) -> list[tuple[set, int, float, bool]]:
+    """(features, slots, weight as a positive at the start: 1 is trusted, ordinary candidate) of each passage of a message's own text; equal passages count once.
 
     tokens gives the features of a word.
     """
@@ -188,26 +206,26 @@ def read(text: str | None, tokens=word_tokens) -> list[tuple[set, int, int, bool
     body = [p for p in passages if p.kind in ("body", "short")]
     spoken = any(p.kind in ("greeting", "closing") for p in passages)
     slot_record = any(p.slots and p.kind in ("greeting", "closing") and len(p.words) - p.slots <= 5 for p in passages)
-    bare = bool(body) and not spoken and body[0].says() and not any(p.slots or p.code for p in body) and sum(p.size for p in body) <= 60
-    filler = bool(body) and all(p.repeats or _FILLER.match(p.low) for p in body)
-    plain = sum(p.kind == "body" and p.size >= 6 and not (p.repeats or p.slots or p.says() or _FILLER.match(p.low)) for p in body)
+    total = sum(p.size for p in body)
+    alone = bool(body) and not spoken and not any(p.slots or p.code for p in body)
+    bare = alone and body[0].says() and total <= BARE_WORDS
+    suspect = alone and total <= SHORT_WORDS
+    filler = {id(p) for p in body if p.filler()}
+    plain = sum(p.kind == "body" and p.size >= 6 and not (p.slots or id(p) in filler or p.says()) for p in body)
     out = []
     for p in passages:
         in_body = p.kind in ("body", "short")
-        words = set(p.words)
-        own = {t for w in words for t in tokens(w)}
-        if len(words) >= 6 and sum(map(_KEYS.issuperset, words)) >= 0.8 * len(words):
-            own.update(tokens("¶keys¶"))
+        own = {t for w in set(p.words) for t in tokens(w)}
+        if id(p) in filler:
+            own.update(tokens("¶filler¶"))
         own.update(tokens(f"¶{p.kind}¶"))
-        if p.repeats:
-            own.update(tokens("¶repeats¶"))
         if p.after_colon:
             own.update(tokens("¶aftercolon¶"))
         if in_body:
             own.update(tokens("¶among¶" if plain - (p.kind == "body" and p.size >= 6) > 1 else "¶spoken¶" if spoken else "¶bare¶"))
         slots = 0 if p.after_colon else p.slots
-        trusted = (slots and slot_record) or (in_body and (bare or filler))
-        out.append((own, slots, int(bool(trusted)), p.kind == "body" and p.size >= 5))
+        trusted = (slots and slot_record) or (in_body and (bare or id(p) in filler))
+        out.append((own, slots, 1.0 if trusted else SUSPECT if in_body and suspect else 0.0, p.kind == "body" and p.size >= 5))
     return out
 
 
@@ -235,11 +253,11 @@ def passages(df: DataFrame, key: str, text: str) -> DataFrame:
                 ordinary.append([int(g[3]) for g in got])
             i32 = pa.int32()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(features, pa.list_(pa.list_(i32))), *[pa.array(x, pa.list_(i32)) for x in (slots, trusted, ordinary)]], names=[key, "features", "slots", "trusted", "ordinary"]
+                [batch.column(0), pa.array(features, pa.list_(pa.list_(i32))), *[pa.array(x, pa.list_(t)) for x, t in ((slots, i32), (trusted, pa.float32()), (ordinary, i32))]], names=[key, "features", "slots", "trusted", "ordinary"]
             )
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, f"`{key}` {kind}, features array<array<int>>, slots array<int>, trusted array<int>, ordinary array<int>")
+    return df.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, f"`{key}` {kind}, features array<array<int>>, slots array<int>, trusted array<float>, ordinary array<int>")
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -255,8 +273,10 @@ class Model:
     """Log-odds of each hashed feature and of the classes."""
 
     def __init__(self, positive: np.ndarray, negative: np.ndarray, n_positive: float, n_negative: float):
-        used = max(int(((positive + negative) > 0).sum()), 1)
-        self.weights = np.log((positive + SMOOTHING) / (positive.sum() + SMOOTHING * used)) - np.log((negative + SMOOTHING) / (negative.sum() + SMOOTHING * used))
+        a, b = positive.sum() + 1e-9, negative.sum() + 1e-9
+        # each class gets pseudo-counts in proportion to its size, so that a feature neither has seen says nothing
+        self.weights = np.log((positive + SMOOTHING * a / (a + b)) / a) - np.log((negative + SMOOTHING * b / (a + b)) / b)
+        self.weights[positive + negative < LEAST] = 0.0
         self.prior = float(np.log(max(n_positive, 1.0)) - np.log(max(n_negative, 1.0)))
 
     def scores(self, features: np.ndarray, passage: np.ndarray, n: int) -> np.ndarray:
@@ -280,7 +300,7 @@ def fit(parsed: DataFrame, rounds: int = ROUNDS) -> Model | None:
                 w = trusted
                 if shared.value is not None:
                     z = shared.value.scores(features, passage, len(trusted))
-                    w = np.maximum(trusted, 1 / (1 + np.exp(-np.clip(z, -30, 30))))
+                    w = np.where(trusted == 1, 1.0, 1 / (1 + np.exp(-np.clip(z, -30, 30))))
                 pos[:size] += np.bincount(features, weights=w[passage], minlength=size)
                 neg[:size] += np.bincount(features, weights=1 - w[passage], minlength=size)
                 pos[size] += w.sum()
