@@ -27,16 +27,22 @@ def get_spark(app: str = "calypile", cpus: int | None = None, **conf: str) -> Sp
     return builder.config(map=settings).getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder the session names (spark.checkpoint.dir), so that lost executors cost nothing.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder the session names in spark.checkpoint.dir, which all executors share.
 
     Only a local master without that setting gets a folder of its own; on a cluster a missing setting is an error,
     because a folder of one machine would not be seen by the executors.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", None)
         if named is None and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="calypile-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder, so that what follows does not depend on the executors that made it."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
