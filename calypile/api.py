@@ -38,10 +38,10 @@ def _paired(files, samples) -> list[tuple]:
     return list(zip(files, samples, strict=True))
 
 
-def _reads(spark: SparkSession, file, sample: str) -> DataFrame:
+def _reads(spark: SparkSession, file, sample: str, region: str | None = None) -> DataFrame:
     if isinstance(file, DataFrame):
         return file.withColumn("sample", F.lit(sample))
-    return (sam.read_sam if str(file).endswith(".sam") else bam.read_bam)(spark, file, sample)
+    return sam.read_sam(spark, file, sample) if str(file).endswith(".sam") else bam.read_bam(spark, file, sample, region=region)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -64,7 +64,7 @@ def parse_bam(spark: SparkSession, file, sample: str, out_dir: str | None = None
         raise ValueError(f"basemod is one of {', '.join(BASEMODS)}")
     ((file, sample),) = _paired(file, sample)
     where = one_region(spark, region) if region is not None else _regions(spark, bed_file)
-    reads = _reads(spark, file, sample)
+    reads = _reads(spark, file, sample, region)
     if region is not None:
         chr_, begin, end = parse_region(region)
         reads = reads.where((F.col("chr") == chr_) & (F.col("start") < end) & (F.col("end") > begin))

@@ -19,7 +19,6 @@ def get_spark(app: str = "calypile", cpus: int | None = None, **conf: str) -> Sp
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
-        "spark.sql.python.filterPushdown.enabled": "true",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     builder = SparkSession.builder.appName(app)
     if not os.environ.get("SPARK_MASTER_SET"):

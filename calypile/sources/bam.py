@@ -3,9 +3,10 @@
 spark.dataSource.register(BamSource); spark.read.format("calypile_bam").option("sample", "s").load(path)
 
 A file is a chain of compressed blocks, so it is split at block borders into parts of about split_bytes; a part's first
-record is found by checking candidate offsets for a run of well-formed records. With filter pushdown on
-(spark.sql.python.filterPushdown.enabled) equality on chr and bounds on start and end are applied while records are read, and,
-where an index (.bai) lies beside the file, only the parts it names for that range are planned.
+record is found by checking candidate offsets for a run of well-formed records. With the option region (chr:begin-end) only
+reads that overlap it are returned, checked on each record's first bytes before it is decoded, and, where an index (.bai) lies
+beside the file, only the parts from the first one it names for that range are planned. (The region is an option and not a
+pushed filter, as Spark 4.1 keeps filters pushed by one query for later queries over the same DataFrame.)
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
-from pyspark.sql.types import StructType
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from calypile.schemas import READS, struct as schema_of
+from calypile.operators.regions import parse_region
+from calypile.schemas import READS
 
 _BASES = "=ACMGRSVTWYHKDBN"
 _PAIRS = [a + b for a in _BASES for b in _BASES]
@@ -223,23 +224,8 @@ class BamReader(DataSourceReader):
         self.path = options["path"]
         self.sample = options.get("sample", "sample")
         self.split = int(options.get("split_bytes", 64 << 20))
-        self.chr: str | None = None
-        self.below: int | None = None  # start < below
-        self.above: int | None = None  # end > above
-
-    def pushFilters(self, filters: list) -> Iterator:
-        for f in filters:
-            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
-            if isinstance(f, EqualTo) and name == "chr" and self.chr is None:
-                self.chr = f.value
-            elif isinstance(f, (LessThan, LessThanOrEqual)) and name == "start":
-                bound = f.value + isinstance(f, LessThanOrEqual)
-                self.below = bound if self.below is None else min(self.below, bound)
-            elif isinstance(f, (GreaterThan, GreaterThanOrEqual)) and name == "end":
-                bound = f.value - isinstance(f, GreaterThanOrEqual)
-                self.above = bound if self.above is None else max(self.above, bound)
-            else:
-                yield f
+        region = options.get("region")
+        self.chr, self.above, self.below = parse_region(region) if region else (None, 0, 0)
 
     def partitions(self) -> list[Part]:
         files = sorted(glob.glob(os.path.join(self.path, "*.bam"))) if os.path.isdir(self.path) else sorted(glob.glob(self.path))
@@ -250,7 +236,7 @@ class BamReader(DataSourceReader):
             names, first, within = header(path)
             size = os.path.getsize(path)
             if self.chr is not None and self.chr in names:
-                known = index_offset(path, names.index(self.chr), self.above or 0)
+                known = index_offset(path, names.index(self.chr), self.above)
                 if known is not None and known > first:
                     first, within = known, None
             cuts = [first]
@@ -263,6 +249,11 @@ class BamReader(DataSourceReader):
                 out.append(Part(path, at, within if i == 0 else None, cuts[i + 1] if i + 1 < len(cuts) else size, len(out)))
         return out
 
+    def wanted(self, data: bytes, names: list[str]) -> bool:
+        """From a record's first bytes: mapped to the region's chr, and starting before its end."""
+        ref, pos = struct.unpack_from("<ii", data, 0)
+        return ref >= 0 and names[ref] == self.chr and pos < self.below and not struct.unpack_from("<H", data, 14)[0] & 4
+
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         """Records whose first byte lies in the part's blocks; the last one may run into the next part."""
         names = header(partition.path)[0]
@@ -288,10 +279,10 @@ class BamReader(DataSourceReader):
                 if not data:
                     break
                 n += 1
-                r = record(data, names)
-                if self.chr is not None and r[2] != self.chr:
+                if self.chr is not None and not self.wanted(data, names):
                     continue
-                if (self.below is not None and (r[3] is None or r[3] >= self.below)) or (self.above is not None and (r[4] is None or r[4] <= self.above)):
+                r = record(data, names)
+                if self.chr is not None and r[4] <= self.above:
                     continue
                 rows.append((self.sample, (partition.number << 33) + n, *r))
                 if len(rows) >= ROWS:
@@ -308,14 +299,15 @@ class BamSource(DataSource):
     def name(cls) -> str:
         return "calypile_bam"
 
-    def schema(self) -> StructType:
-        return schema_of(READS)
+    def schema(self) -> str:
+        return READS
 
-    def reader(self, schema: StructType) -> BamReader:
+    def reader(self, schema) -> BamReader:
         return BamReader(self.options)
 
 
-def read_bam(spark, path: str, sample: str, split_bytes: int = 64 << 20):
-    """The reads of one BAM file or of all in a folder."""
+def read_bam(spark, path: str, sample: str, split_bytes: int = 64 << 20, region: str | None = None):
+    """The reads of one BAM file or of all in a folder; with region only those that overlap it."""
     spark.dataSource.register(BamSource)
-    return spark.read.format("calypile_bam").option("sample", sample).option("split_bytes", str(split_bytes)).load(path)
+    reader = spark.read.format("calypile_bam").option("sample", sample).option("split_bytes", str(split_bytes))
+    return (reader.option("region", region) if region else reader).load(path)
