@@ -156,5 +156,5 @@ def own_paragraphs(text: str | None) -> list[list[str]]:
     for is_html, body in bodies(text.replace("\r\n", "\n").replace("\r", "\n")):
         body = repaired(shown_html(body) if is_html else body)
         own = "\n".join(x.rstrip() for x in unquoted(body))
-        out.append([p for p in re.split(r"\n{2,}", own) if p.strip()])
+        out.append([p.strip("\n") for p in re.split(r"\n{2,}", own) if p.strip()])
     return out

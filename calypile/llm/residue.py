@@ -58,7 +58,7 @@ PLACEHOLDERS = [
     rf"%%{_NAME}%%",
     rf"\[%[=-]? ?{_NAME} ?%\]",
     rf"\*\|{_NAME}(?::[\w.]+)?\|\*",
-    r"(?<!\w)__[A-Za-z][\w.]*?[A-Za-z0-9]__(?!\w)",
+    r"(?<!\w)__[A-Za-z][\w.]*?[A-Za-z0-9]__(?!\w|\.\w)",
     rf"@@{_NAME}@@",
     rf"##{_NAME}##",
     rf"\[\[{_NAME}\]\]",
