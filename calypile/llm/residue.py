@@ -43,6 +43,8 @@ SUSPECT = 0.5
 BARE_WORDS, SHORT_WORDS = 60, 25
 #: Words whose hashes a task remembers; others are hashed anew each time.
 KNOWN_WORDS = 500_000
+#: Words from which a paragraph counts as content of its own.
+CONTENT_WORDS = 5
 
 # --- fixed values: the forms in which systems leave placeholders, and the words they print for a missing value
 
@@ -187,10 +189,10 @@ def word_tokens(word: str) -> tuple[str, ...]:
     return (word, "~" + word[-3:], *keys) if len(word) > 3 else (word, *keys)
 
 
-def read(text: str | None, tokens=word_tokens) -> list[tuple[set, int, float, bool]]:
-    """(features, slots, weight as a positive at the start: 1 is trusted, ordinary candidate) of each passage of a message's own text; equal passages count once.
+def read(text: str | None, tokens=word_tokens) -> list[tuple[set, int, float, int]]:
+    """(features, slots, weight as a positive at the start: 1 is trusted, content) of each passage of a message's own text; equal passages count once.
 
-    tokens gives the features of a word.
+    tokens gives the features of a word. content is 2 for body text long enough to be a message's content, 1 for other body text, else 0.
     """
     passages: list[Passage] = []
     seen: set[str] = set()
@@ -225,12 +227,13 @@ def read(text: str | None, tokens=word_tokens) -> list[tuple[set, int, float, bo
             own.update(tokens("¶among¶" if plain - (p.kind == "body" and p.size >= 6) > 1 else "¶spoken¶" if spoken else "¶bare¶"))
         slots = 0 if p.after_colon else p.slots
         trusted = (slots and slot_record) or (in_body and (bare or id(p) in filler))
-        out.append((own, slots, 1.0 if trusted else SUSPECT if in_body and suspect else 0.0, p.kind == "body" and p.size >= 5))
+        content = 2 if p.kind == "body" and p.size >= CONTENT_WORDS else int(in_body)
+        out.append((own, slots, 1.0 if trusted else SUSPECT if in_body and suspect else 0.0, content))
     return out
 
 
 def passages(df: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per row of df: (key, features array<array<int>>, slots, trusted, ordinary: an array entry per passage)."""
+    """One row per row of df: (key, features array<array<int>>, slots, trusted, content: an array entry per passage)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, ...]] = {}
@@ -244,20 +247,20 @@ def passages(df: DataFrame, key: str, text: str) -> DataFrame:
             return got
 
         for batch in batches:
-            features, slots, trusted, ordinary = [], [], [], []
+            features, slots, trusted, content = [], [], [], []
             for value in strings(batch.column(1)):
                 got = read(value, numbers)
                 features.append([sorted(g[0]) for g in got])
                 slots.append([g[1] for g in got])
                 trusted.append([g[2] for g in got])
-                ordinary.append([int(g[3]) for g in got])
+                content.append([g[3] for g in got])
             i32 = pa.int32()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(features, pa.list_(pa.list_(i32))), *[pa.array(x, pa.list_(t)) for x, t in ((slots, i32), (trusted, pa.float32()), (ordinary, i32))]], names=[key, "features", "slots", "trusted", "ordinary"]
+                [batch.column(0), pa.array(features, pa.list_(pa.list_(i32))), *[pa.array(x, pa.list_(t)) for x, t in ((slots, i32), (trusted, pa.float32()), (content, i32))]], names=[key, "features", "slots", "trusted", "content"]
             )
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, f"`{key}` {kind}, features array<array<int>>, slots array<int>, trusted array<float>, ordinary array<int>")
+    return df.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, f"`{key}` {kind}, features array<array<int>>, slots array<int>, trusted array<float>, content array<int>")
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -335,14 +338,14 @@ def scored(parsed: DataFrame, key: str, model: Model | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat = [batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (2, 3, 4)]
-            slots, ordinary, n = flat[0], flat[2], len(flat[0])
+            slots, content, n = flat[0], flat[2], len(flat[0])
             features, passage = _flat(batch.column(1))
             z = shared.value.scores(features, passage, n)
             counts = np.diff(batch.column(2).offsets.to_numpy())
             row = np.repeat(np.arange(len(counts)), counts)
             add = lambda x: np.bincount(row, weights=x, minlength=len(counts)).astype(np.int32)  # noqa: B023, E731
-            residue, plain = z > CUT, (z <= CUT) & (ordinary > 0)
-            in_text, other = add(residue & (slots > 0)), add(residue & (ordinary > 0) & (slots == 0))
+            residue, plain = z > CUT, (z <= CUT) & (content == 2)
+            in_text, other = add(residue & (slots > 0)), add(residue & (content > 0) & (slots == 0))
             best = pd.Series(z).groupby(row).max().reindex(range(len(counts))).to_numpy()
             found = (in_text > 0) | ((other > 0) & (add(plain) == 0))
             yield pa.RecordBatch.from_arrays(
