@@ -92,19 +92,30 @@ def decode_read(flag: int, start: int, cigar: str, seq: str, mm: str | None, ml:
     return out, lost
 
 
+def inside_any(pos: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Which positions lie in at least one of the spans [lo, hi)."""
+    if not len(lo):
+        return np.zeros(len(pos), bool)
+    order = np.argsort(lo, kind="stable")
+    reach = np.maximum.accumulate(hi[order])
+    at = np.searchsorted(lo[order], pos, "right") - 1
+    return (at >= 0) & (pos < reach[np.maximum(at, 0)])
+
+
 def _bases(basemod: str) -> str:
     if basemod not in BASEMODS:
         raise ValueError(f"basemod is one of {', '.join(BASEMODS)}, not {basemod!r}")
     return BASEMODS[basemod]
 
 
-def decode(reads: DataFrame, keep: list[str], basemod: str = "A+CG", thresh_a: int = 129, thresh_c: int = 129) -> DataFrame:
+def decode(reads: DataFrame, keep: list[str], basemod: str = "A+CG", thresh_a: int = 129, thresh_c: int = 129, spans: str | None = None) -> DataFrame:
     """(keep columns, mod_idx, mod, pos, prob, called, methylated): a row per candidate base of the requested modifications.
 
-    reads has flag, start, cigar, seq, mm, ml. keep may hold columns of any type, arrays of regions included.
+    reads has flag, start, cigar, seq, mm, ml. keep may hold columns of any type, arrays of regions included. spans names a column
+    array<struct<lo bigint, hi bigint>>; only sites in one of their read's spans [lo, hi) are returned then.
     """
     bases, thresholds = _bases(basemod), {"A": thresh_a, "C": thresh_c}
-    needed = ["flag", "start", "cigar", "seq", "mm", "ml"]
+    needed = ["flag", "start", "cigar", "seq", "mm", "ml", *([spans] if spans else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,7 +126,11 @@ def decode(reads: DataFrame, keep: list[str], basemod: str = "A+CG", thresh_a: i
             for i in range(batch.num_rows):
                 values = ml[i].values
                 got, _ = decode_read(flag[i] or 0, start[i], cigar[i], seq[i], mm[i], None if values is None else values.to_numpy(zero_copy_only=False), bases, thresholds)
+                bounds = batch.column(k + 6)[i].values if spans and got else None
                 for g in got:
+                    if spans:
+                        near = inside_any(g[2], *(bounds.field(f).to_numpy(zero_copy_only=False) for f in ("lo", "hi"))) if bounds is not None else np.zeros(len(g[2]), bool)
+                        g = (*g[:2], *(x[near] for x in g[2:]))
                     row.append(np.full(len(g[2]), i))
                     parts.append(g)
             at = pa.array(np.concatenate(row) if row else np.empty(0, np.int64))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from calypile.operators.calls import first_per_id, pileup
 from calypile.operators.decode import decode
-from calypile.operators.regions import center, overlap_join, strand_or_plus
+from calypile.operators.regions import BROADCAST_ROWS, center, overlap_join, strand_or_plus
 
 
 def sites(reads: DataFrame, regions: DataFrame, basemod: str = "A+CG", centered: bool = False, window: int = 1000, thresh_a: int = 129, thresh_c: int = 129) -> DataFrame:
@@ -17,15 +17,33 @@ def sites(reads: DataFrame, regions: DataFrame, basemod: str = "A+CG", centered:
     Reads are first matched with the regions they overlap; each is decoded once, whatever the number of its regions.
     """
     cols = ["bed_id", "region_idx", "begin_pos", "end_pos", "strand"]
-    pairs = overlap_join(reads, regions.select("chr", *cols))
-    per_read = pairs.groupBy("sample", "read_idx").agg(F.collect_list(F.struct(*cols)).alias("regions"), *[F.any_value(c).alias(c) for c in ("name", "chr", "flag", "start", "cigar", "seq", "mm", "ml")])
-    decoded = decode(per_read, ["sample", "read_idx", "name", "chr", "regions"], basemod, thresh_a, thresh_c)
-    flat = decoded.withColumn("r", F.explode("regions")).select("sample", "read_idx", F.col("name").alias("read_name"), "chr", "mod_idx", "mod", "pos", "prob", "called", "methylated", "r.*")
+    mid = lambda r: center(r["begin_pos"], r["end_pos"])
+    lo = (lambda r: mid(r) - window) if centered else (lambda r: r["begin_pos"] + 1)
+    hi = (lambda r: mid(r) + window + 1) if centered else (lambda r: r["end_pos"])
+    per_read = with_regions(reads, regions.select("chr", *cols), cols).withColumn("spans", F.transform("regions", lambda r: F.struct(lo(r).alias("lo"), hi(r).alias("hi"))))
+    decoded = decode(per_read, ["sample", "read_idx", "name", "chr", "regions"], basemod, thresh_a, thresh_c, "spans")
+    near = decoded.withColumn("r", F.explode(F.filter("regions", lambda r: (F.col("pos") >= lo(r)) & (F.col("pos") < hi(r)))))
+    flat = near.select("sample", "read_idx", F.col("name").alias("read_name"), "chr", "mod_idx", "mod", "pos", "prob", "called", "methylated", "r.*")
     if not centered:
-        return flat.where((F.col("pos") > F.col("begin_pos")) & (F.col("pos") < F.col("end_pos")))
-    mid = center(F.col("begin_pos"), F.col("end_pos"))
-    rel = F.when(strand_or_plus(F.col("strand")) == "-", -1).otherwise(1) * (F.col("pos") - mid)
-    return flat.withColumn("pos", rel).where(F.abs("pos") <= window)
+        return flat
+    rel = F.when(strand_or_plus(F.col("strand")) == "-", -1).otherwise(1) * (F.col("pos") - center(F.col("begin_pos"), F.col("end_pos")))
+    return flat.withColumn("pos", rel)
+
+
+def with_regions(reads: DataFrame, regions: DataFrame, cols: list[str]) -> DataFrame:
+    """Reads that overlap a region, with the array regions of those they overlap.
+
+    Few regions (their number is checked) are broadcast as one array per chr, and the reads with their sequences are not shuffled. More are
+    matched by bins over the reads' coordinates alone, and the arrays joined back to the reads.
+    """
+    entry = F.struct(*cols)
+    if regions.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        by_chr = regions.where("begin_pos < end_pos").groupBy("chr").agg(F.collect_list(entry).alias("_all"))
+        hit = lambda r: (F.col("start") < r["end_pos"]) & (F.col("end") > r["begin_pos"])
+        joined = reads.where("start < end").join(F.broadcast(by_chr), "chr")
+        return joined.withColumn("regions", F.filter("_all", hit)).drop("_all").where(F.size("regions") > 0)
+    pairs = overlap_join(reads.select("sample", "read_idx", "chr", "start", "end"), regions, binned=True)
+    return reads.join(pairs.groupBy("sample", "read_idx").agg(F.collect_list(entry).alias("regions")), ["sample", "read_idx"])
 
 
 def calls(found: DataFrame, all_bases: bool = False) -> DataFrame:

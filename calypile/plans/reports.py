@@ -402,7 +402,7 @@ select sample, max(x) as n50 from c where 2 * c > t group by sample""",
     "mm_decode": _DECODE_SUMS,
     "mm_decode_relational": _DECODE_SUMS,
     "cigar_blocks": f"""with {_SEQS}, s as (select doc_id, length(seq) n, doc_id * 997 % 100000 st from s0 where length(seq) >= 60)
-select doc_id as read_idx, unnest([5, 28, 38]) as qstart, st + unnest([0, 20, 32]) as rstart, unnest([20, 10, n - 38]) as len, n - 6 as reference_length, n as query_length from s""",
+select doc_id as read_idx, cast(unnest([5, 28, 38]) as bigint) as qstart, st + unnest([0, 20, 32]) as rstart, unnest([20, 10, n - 38]) as len, n - 6 as reference_length, n as query_length from s""",
     "revcomp": f"with {_SEQS} select doc_id, reverse(translate(seq, 'ACGT', 'TGCA')) as rc from s0",
     "extract_pileup": _DECODED + """ select 'made' as sample, pos || ':' || mod as id, d.chr, pos, mod, cast(sum((called and prob >= 129)::int) as bigint) as methylated_bases, count(*) as total_bases
 from d join g on d.chr = g.chr and pos > b and pos < e group by all""",

@@ -118,6 +118,29 @@ def test_thresholds_empty_and_unknown_basemod(spark):
         D.decode(df, ["read_idx"], "G")
 
 
+def test_spans_and_region_arrays(spark, monkeypatch):
+    from calypile.operators import extract
+
+    rows = [("s", *r[:1], f"n{r[0]}", *r[1:3], r[2] + 45 if r[2] is not None else None, *r[3:]) for r in random_reads(80, 3)]
+    reads = spark.createDataFrame(rows, "sample string, read_idx bigint, name string, flag int, start bigint, `end` bigint, cigar string, seq string, mm string, ml array<int>").withColumn("chr", F.lit("c"))
+    regions = spark.createDataFrame([("b", i, "c", 7 * i, 7 * i + n, "+-"[i % 2]) for i, n in enumerate([3, 20, 1, 9, 4, 60])] + [("b", 9, "d", 0, 99, "+")], "bed_id string, region_idx bigint, chr string, begin_pos bigint, end_pos bigint, strand string")
+    plain = D.decode(reads, ["read_idx", "start", "end"]).collect()
+    for centered, window in ((False, 0), (True, 5)):
+        want = []
+        for r in plain:
+            for g in regions.where("chr = 'c'").collect():
+                if not (r["start"] < g["end_pos"] and r["end"] > g["begin_pos"]):
+                    continue
+                mid = round((g["end_pos"] - g["begin_pos"]) / 2 + g["begin_pos"])
+                rel = (1 if g["strand"] == "+" else -1) * (r["pos"] - mid)
+                if (abs(rel) <= window) if centered else (g["begin_pos"] < r["pos"] < g["end_pos"]):
+                    want.append((r["read_idx"], g["region_idx"], r["mod"], rel if centered else r["pos"], r["prob"]))
+        for limit in (50_000, 2):
+            monkeypatch.setattr(extract, "BROADCAST_ROWS", limit)
+            got = extract.sites(reads, regions, centered=centered, window=window)
+            assert sorted(tuple(x) for x in got.select("read_idx", "region_idx", "mod", "pos", "prob").collect()) == sorted(want) and want
+
+
 def test_lost_calls_are_counted(spark):
     got = {r["read_idx"]: (r["n_segments"], r["n_lost"]) for r in D.tag_quality(spark.createDataFrame(random_reads(2, 1), SCHEMA), "read_idx").collect()}
     assert got[6] == (1, 1) and got[2] == (0, 0) and got[5] == (1, 0)
