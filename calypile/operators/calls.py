@@ -122,7 +122,9 @@ def curve(smooth: DataFrame, keys: list[str], value: str, order: str = "pos") ->
 def dense_axis(piled: DataFrame, keys: list[str], value: str, order: str = "pos") -> DataFrame:
     """Every position from each keys' first up to, but without, its last, with the value summed there and 0 where there is none."""
     spans = piled.groupBy(*keys).agg(F.min(order).alias("_a"), F.max(order).alias("_b")).where("_a < _b")
-    axis = spans.select(*keys, F.explode(F.sequence("_a", F.col("_b") - 1)).alias(order))
+    step = 1 << TILE_BITS  # in two steps, so that no row holds the whole axis
+    tiles = spans.select(*keys, "_b", F.explode(F.sequence("_a", F.col("_b") - 1, F.lit(step).cast("bigint"))).alias("_t"))
+    axis = tiles.select(*keys, F.explode(F.sequence("_t", F.least(F.col("_t") + step - 1, F.col("_b") - 1))).alias(order))
     sums = piled.groupBy(*keys, order).agg(F.sum(value).alias(value))
     return axis.join(sums, [*keys, order], "left").select(*keys, order, F.coalesce(value, F.lit(0)).alias(value))
 

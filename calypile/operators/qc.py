@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from calypile.functions.reads import aligned_quals, mean_phred, query_length
-from calypile.operators.skew import order_bucket
+from calypile.operators.skew import WEIGHT, compress, order_bucket, percentiles
 
 METRICS = ("length", "mapq", "ave_baseq", "ave_alignq")
 BINS = 200
@@ -33,10 +33,18 @@ def long_metrics(rows: DataFrame, keys: list[str], metrics: tuple[str, ...] = ME
 
 
 def summary(rows: DataFrame, keys: list[str], metrics: tuple[str, ...] = METRICS) -> DataFrame:
-    """Min, 25 %, median, 75 %, max and mean of each metric, and its number of values; one aggregation."""
-    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    agg = long_metrics(rows, keys, metrics).groupBy(*keys, "metric").agg(F.count("x").alias("n"), F.min("x").alias("min"), q.alias("_q"), F.max("x").alias("max"), F.avg("x").alias("mean"))
-    return agg.select(*keys, "metric", "n", "min", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"), "max", "mean")
+    """Min, 25 %, median, 75 %, max and mean of each metric, and its number of values; exact, from values counted by frequency.
+
+    Percentiles are interpolated between the two nearest values. No task holds all values of a sample.
+    """
+    own = [*keys, "metric"]
+    weighted = compress(long_metrics(rows, keys, metrics), own, ["x"])
+    agg = weighted.groupBy(*own).agg(F.sum(WEIGHT).alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), (F.sum(F.col("x") * F.col(WEIGHT)) / F.sum(WEIGHT)).alias("mean"))
+    found = percentiles(weighted, own, "x", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    same = F.lit(True)
+    for k in own:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    return agg.alias("a").join(found.alias("b"), same).select(*[F.col(f"a.{k}").alias(k) for k in own], "n", "min", "q1", "median", "q3", "max", "mean")
 
 
 def summary_table(rows: DataFrame, keys: list[str], metrics: tuple[str, ...] = METRICS) -> DataFrame:

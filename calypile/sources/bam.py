@@ -5,7 +5,8 @@ spark.dataSource.register(BamSource); spark.read.format("calypile_bam").option("
 A file is a chain of compressed blocks, so it is split at block borders into parts of about split_bytes; a part's first
 record is found by checking candidate offsets for a run of well-formed records. With the option region (chr:begin-end) only
 reads that overlap it are returned, checked on each record's first bytes before it is decoded, and, where an index (.bai) lies
-beside the file, only the parts from the first one it names for that range are planned. (The region is an option and not a
+beside the file, only the parts from the first one it names for that range are planned; in a file sorted by coordinate, a
+part is left at the first record behind the region. (The region is an option and not a
 pushed filter, as Spark 4.1 keeps filters pushed by one query for later queries over the same DataFrame.)
 """
 
@@ -78,21 +79,22 @@ class Blocks:
         self.file.close()
 
 
-def header(path: str) -> tuple[list[str], int, int]:
-    """(reference names, file offset of the block of the first record, its offset in that block)."""
+def header(path: str) -> tuple[list[str], int, int, bool]:
+    """(reference names, file offset of the block of the first record, its offset in that block, sorted by coordinate)."""
     b = Blocks(path)
     try:
         if b.take(4) != b"BAM\1":
             raise ValueError(f"{path} is not a BAM file")
-        b.take(struct.unpack("<i", b.take(4))[0])
+        text = b.take(struct.unpack("<i", b.take(4))[0])
+        ordered = b"\tSO:coordinate" in text.split(b"\n", 1)[0]
         names = []
         for _ in range(struct.unpack("<i", b.take(4))[0]):
             names.append(b.take(struct.unpack("<i", b.take(4))[0])[:-1].decode())
             b.take(4)
         if b.pos >= len(b.data):
-            return names, b.at, 0
+            return names, b.at, 0, ordered
         before, offset = max((o, f) for o, f in b.starts if o <= b.pos)
-        return names, offset, b.pos - before
+        return names, offset, b.pos - before, ordered
     finally:
         b.close()
 
@@ -233,7 +235,7 @@ class BamReader(DataSourceReader):
             raise FileNotFoundError(self.path)
         out: list[Part] = []
         for path in files:
-            names, first, within = header(path)
+            names, first, within, _ = header(path)
             size = os.path.getsize(path)
             if self.chr is not None and self.chr in names:
                 known = index_offset(path, names.index(self.chr), self.above)
@@ -256,7 +258,8 @@ class BamReader(DataSourceReader):
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         """Records whose first byte lies in the part's blocks; the last one may run into the next part."""
-        names = header(partition.path)[0]
+        names, _, _, ordered = header(partition.path)
+        target = names.index(self.chr) if self.chr in names else len(names)
         b = Blocks(partition.path, partition.start)
         types = pa.schema([("sample", pa.string()), ("read_idx", pa.int64()), ("name", pa.string()), ("flag", pa.int32()), ("chr", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("mapq", pa.int32()), ("cigar", pa.string()), ("seq", pa.string()), ("quals", pa.list_(pa.int32())), ("mm", pa.string()), ("ml", pa.list_(pa.int32()))])
         rows: list[tuple] = []
@@ -280,6 +283,9 @@ class BamReader(DataSourceReader):
                     break
                 n += 1
                 if self.chr is not None and not self.wanted(data, names):
+                    ref, pos = struct.unpack_from("<ii", data, 0)
+                    if ordered and (ref < 0 or ref > target or (ref == target and pos >= self.below)):
+                        break  # in a sorted file nothing after this can overlap
                     continue
                 r = record(data, names)
                 if self.chr is not None and r[4] <= self.above:

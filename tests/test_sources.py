@@ -50,8 +50,8 @@ def encode(line: str) -> bytes:
     return struct.pack("<i", len(body)) + body
 
 
-def write_bam(path, lines, size=60000):
-    text = b"@HD\tVN:1.6\n"
+def write_bam(path, lines, size=60000, order=b""):
+    text = b"@HD\tVN:1.6" + order + b"\n"
     data = b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(REFS))
     for name, n in REFS:
         data += struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", n)
@@ -84,6 +84,9 @@ def test_a_region_reads_only_its_records(spark, tmp_path):
     whole = bam.read_bam(spark, str(tmp_path / "b.bam"), "s")
     for region, chr_, a, b in (("chr1:10-103", "chr1", 10, 103), ("chr1:116-200", "chr1", 116, 200), ("chr2:1-9", "chr2", 1, 9), ("none:1-9", "none", 1, 9)):
         part = bam.read_bam(spark, str(tmp_path / "b.bam"), "s", 900, region).drop("read_idx")
+        ordered = sorted(many, key=lambda x: (x.split("\t")[2] == "*", x.split("\t")[2], int(x.split("\t")[3])))
+        write_bam(tmp_path / "o.bam", ordered, 700, b"\tSO:coordinate")
+        assert plain(bam.read_bam(spark, str(tmp_path / "o.bam"), "s", 900, region).drop("read_idx").collect()) == plain(part.collect())
         want = whole.where((whole["chr"] == chr_) & (whole["start"] < b) & (whole["end"] > a)).drop("read_idx")
         assert plain(part.collect()) == plain(want.collect())
 
