@@ -15,16 +15,14 @@ _FIELD = re.compile(r"^([!-9;-~]+)[ \t]*:[ \t]*(.*(?:\n[ \t]+.*)*)", re.M)
 _BOUNDARY = re.compile(r'boundary\s*=\s*(?:"([^"\n]+)"|([^\s;]+))', re.I)
 _BASE64 = re.compile(r"[^A-Za-z0-9+/]")
 #: Text that is seen only where scripts or images are off, or never.
-_UNSEEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(head|style|script|title|template)\b.*?(?:</\1\s*>|\Z)"
-    r"|<(noscript)\b[^>]*>.*?(?:</\2\s*>|\Z)|<(\w+)\b[^>]*(?:display\s*:\s*none|visibility\s*:\s*hidden|font-size\s*:\s*0|max-height\s*:\s*0|\bhidden\b(?!-))[^>]*>.*?</\3\s*>",
-    re.I | re.S,
-)
-_QUOTED_HTML = re.compile(r"<(/?)(?:blockquote)\b[^>]*>", re.I)
-_CODE = re.compile(r"<(pre|code|kbd|samp|tt)\b[^>]*>(.*?)</\1\s*>", re.I | re.S)
-_BREAK = re.compile(r"<br\b[^>]*>\s*\n?", re.I)
-_BLOCK = re.compile(r"</?(?:p|div|tr|table|ul|ol|h[1-6]|section|article|body|html|hr)\b[^>]*>", re.I)
-_ITEM = re.compile(r"</?(?:li|td|th|dt|dd)\b[^>]*>", re.I)
+_UNSEEN = re.compile(r"<!--.*?(?:-->|\Z)|<(head|style|script|title|template)\b.*?(?:</\1\s*>|\Z)|<(noscript)\b[^<>]*>.*?(?:</\2\s*>|\Z)", re.I | re.S)
+_OPENING = re.compile(r"<(\w{1,20})\b([^<>]{1,2000})>")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|font-size\s*:\s*0|max-height\s*:\s*0|\bhidden\b(?!-)", re.I)
+_QUOTED_HTML = re.compile(r"<(/?)(?:blockquote)\b[^<>]*>", re.I)
+_CODE = re.compile(r"<(pre|code|kbd|samp|tt)\b[^<>]*>(.*?)</(?:pre|code|kbd|samp|tt)\s*>", re.I | re.S)
+_BREAK = re.compile(r"<br\b[^<>]*>\s*\n?", re.I)
+_BLOCK = re.compile(r"</?(?:p|div|tr|table|ul|ol|h[1-6]|section|article|body|html|hr)\b[^<>]*>", re.I)
+_ITEM = re.compile(r"</?(?:li|td|th|dt|dd)\b[^<>]*>", re.I)
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>|<![^<>]*>")
 _MOJIBAKE = re.compile("[Â-ô][\u0080-¿‚-›Œ-žŸƒˆ˜€™]")
 _MOJIBAKE_RUN = re.compile("(?:[Â-ô][\u0080-¿‚-›Œ-žŸƒˆ˜€™]{1,3})+")
@@ -100,10 +98,35 @@ def _without_quotes(markup: str) -> str:
     return "".join(out) + ("<p>&gt;</p>" if depth else markup[at:])
 
 
+def _without_hidden(markup: str) -> str:
+    """HTML without elements whose own attributes hide them; one without a closing tag stays."""
+    if not _HIDDEN.search(markup):
+        return markup
+    low, out, at, missing = markup.lower(), [], 0, set()
+    for m in _OPENING.finditer(markup):
+        name = m[1].lower()
+        if m.start() < at or name in missing or not _HIDDEN.search(m[2]):
+            continue
+        end = low.find(f"</{name}", m.end())
+        if end < 0:
+            missing.add(name)  # nor is there one for a later element
+            continue
+        out.append(markup[at : m.start()] + " ")
+        close = low.find(">", end)
+        at = len(markup) if close < 0 else close + 1
+    return "".join(out) + markup[at:]
+
+
+def _code_indented(markup: str) -> str:
+    """Code elements as blocks of indented lines; only up to the last closing tag, as no opening one behind it can match."""
+    last = max((m.end() for m in re.finditer(r"</(?:pre|code|kbd|samp|tt)\s*>", markup, re.I)), default=0)
+    indent = lambda m: "\n\n" + re.sub(r"^", "    ", _BREAK.sub("\n", m[2]), flags=re.M) + "\n\n"
+    return _CODE.sub(indent, markup[:last]) + markup[last:]
+
+
 def shown_html(markup: str) -> str:
     """The text an HTML part shows, block by block; code elements are indented as code is in plain text."""
-    markup = _without_quotes(_UNSEEN.sub(" ", markup))
-    markup = _CODE.sub(lambda m: "\n\n" + re.sub(r"^", "    ", _BREAK.sub("\n", m[2]), flags=re.M) + "\n\n", markup)
+    markup = _code_indented(_without_quotes(_without_hidden(_UNSEEN.sub(" ", markup))))
     markup = _ITEM.sub("\n", _BLOCK.sub("\n\n", _BREAK.sub("\n", markup)))
     return html.unescape(_TAG.sub("", markup)).replace("\xa0", " ")
 

@@ -48,7 +48,7 @@ CONTENT_WORDS = 5
 
 # --- fixed values: the forms in which systems leave placeholders, and the words they print for a missing value
 
-_NAME = r"[A-Za-zÀ-ÿ][\w.]*(?:[ _-][\w.]+){0,3}"
+_NAME = r"[A-Za-zÀ-ÿ][\w.]{0,40}(?:[ -][\w.]{1,40}){0,3}"  # of bounded length, so that no long word is tried over and over
 PLACEHOLDERS = [
     r"\{\{\{? ?[\w.$ |'\"()-]{1,60} ?\}?\}\}",
     r"\{% ?\w+ [^{}%\n]{1,50}%\}",
@@ -59,18 +59,18 @@ PLACEHOLDERS = [
     rf"[$#@]\{{{_NAME}\}}",
     rf"%%{_NAME}%%",
     rf"\[%[=-]? ?{_NAME} ?%\]",
-    rf"\*\|{_NAME}(?::[\w.]+)?\|\*",
-    r"(?<!\w)__[A-Za-z][\w.]*?[A-Za-z0-9]__(?!\w|\.\w)",
+    rf"\*\|{_NAME}(?::[\w.]{1,40})?\|\*",
+    r"(?<!\w)__[A-Za-z][\w.]{0,60}?[A-Za-z0-9]__(?!\w|\.\w)",
     rf"@@{_NAME}@@",
     rf"##{_NAME}##",
     rf"\[\[{_NAME}\]\]",
-    r"%\([\w. ]+\)[sd]",
-    r"(?<![\w%])%[A-Za-z][A-Za-z_.]{2,}%(?![\w%])",
+    r"%\([\w. ]{1,60}\)[sd]",
+    r"(?<![\w%])%[A-Za-z][A-Za-z_.]{2,40}%(?![\w%])",
     r"(?<![\w\])}{$#@\\])\{\d{1,2}\}(?![\w{])",
-    r"(?<![\w\])}{$#@\\])\{[A-Za-z][\w.]+(?: [\w.]+){0,3}\}(?![\w{])",
+    r"(?<![\w\])}{$#@\\])\{[A-Za-z][\w.]{1,40}(?: [\w.]{1,40}){0,3}\}(?![\w{])",
     r"(?<![\w$])\$[A-Z][A-Z_]{2,}\b|(?<![\w$])\$[a-z]+_[a-z_]+\b",
     r"\[(?i:enter|insert|add|your|type|fill in|choose|select|put|please enter|ihr|ihre|votre|su|hier)\s[^\[\]\n]{1,50}\]",
-    r"\[[A-Z]{2,}[ _][A-Z_ ]{2,}\]",
+    r"\[[A-Z]{2,30}[ _][A-Z_ ]{2,30}\]",
     r"\((?i:your|insert|enter|ihr|votre|su) [^()\n]{1,50}(?i:here|hier|ici|aquí)\)",
 ]
 MISSING = r"\[object \w+\]|(?<![\w\"'./-])(?:undefined|null|NULL|NaN|None|nil|\(null\)|#N/A|N/A|<null>|\(none\))(?![\w\"'/-])"

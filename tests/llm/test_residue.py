@@ -49,6 +49,16 @@ def test_other_brackets_are_no_slots(text):
     assert R.Passage(text, False).slots == 0
 
 
+@pytest.mark.parametrize("unit", ["%%A_", "{{a ", "{a ", "[%x.", "__a_", "<<A ", "$a_", "<div hidden ", "> | ", '"', "«a", "a@b.c wrote: ", "[enter ", "--b\n", "Ã¤", "=C3"])
+def test_long_repetitions_end_soon(unit):
+    import time
+
+    start = time.time()
+    for kind, transfer in (("text/plain", "8bit"), ("text/html", "8bit"), ("text/plain", "quoted-printable"), ("multipart/mixed; boundary=b", "7bit")):
+        R.read(mail(unit * 5_000, kind, transfer))
+    assert time.time() - start < 10
+
+
 ORDINARY = ["The courier moved the boxes before noon and wrote it down.", "Please send the list before Friday, otherwise we lose the slot.", "We counted the reads again and the result is the same.", "Could you check whether the form in the archive is the right one?", "My train is late, start without me and keep a seat."]
 
 
