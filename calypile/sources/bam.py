@@ -51,7 +51,8 @@ class Blocks:
             self.file.seek(self.at)
             raise ValueError(f"no BGZF block at {self.at}")
         body = self.file.read(bsize - 18)
-        self.data, self.starts = self.data[self.pos :], [(max(0, o - self.pos), f) for o, f in self.starts[-2:]]
+        past = max((i for i, (o, _) in enumerate(self.starts) if o <= self.pos), default=0)  # blocks before this one lie wholly before pos
+        self.data, self.starts = self.data[self.pos :], [(max(0, o - self.pos), f) for o, f in self.starts[past:]]
         self.pos = 0
         self.starts.append((len(self.data), self.at))
         self.data += zlib.decompress(body[extra - 6 : -8], -15)
@@ -145,8 +146,10 @@ def synchronise(b: Blocks, n_ref: int, run: int = 4) -> bool:
             if size == 0:
                 break
             at, ok = at + size, ok + 1
-            if at == len(b.data) and not b.more():
-                ok = run
+            if at == len(b.data):
+                at -= b.pos
+                if not b.more():
+                    ok = run
         if ok >= run:
             return True
         b.pos += 1

@@ -1,3 +1,4 @@
+import random
 import struct
 import zlib
 
@@ -91,6 +92,63 @@ def test_a_region_reads_only_its_records(spark, tmp_path):
         assert plain(part.collect()) == plain(want.collect())
 
 
+def long_reads(n, length=100_000):
+    rng = random.Random(n)
+    seq, qual = "".join(rng.choices("ACGT", k=length)), "".join(rng.choices("+5?I", k=length))
+    return [f"long{i}\t0\tchr1\t{1 + 20_000 * i}\t60\t{length}M\t*\t0\t0\t{seq}\t{qual}" for i in range(n)]
+
+
+def names_by_part(path, split, region=None):
+    reader = bam.BamReader({"path": str(path), "split_bytes": str(split)} | ({"region": region} if region else {}))
+    return [[x for batch in reader.read(part) for x in batch.column("name").to_pylist()] for part in reader.partitions()]
+
+
+def test_last_parts_of_long_reads(tmp_path):
+    write_bam(tmp_path / "l.bam", long_reads(9))
+    whole, last = [f"long{i}" for i in range(9)], set()
+    for split in range(50_000, 450_000, 20_000):
+        parts = names_by_part(tmp_path / "l.bam", split)
+        assert [x for part in parts for x in part] == whole
+        last.add(len(parts[-1]))
+    assert last >= {1, 2, 3, 4}
+
+
+def test_an_index_into_the_last_long_reads(tmp_path):
+    lines = long_reads(8)
+    write_bam(tmp_path / "i.bam", lines, order=b"\tSO:coordinate")
+    blocks, at = [], 0  # (uncompressed bytes before, file offset)
+    raw, before = (tmp_path / "i.bam").read_bytes(), 0
+    while at < len(raw):
+        blocks.append((before, at))
+        at += struct.unpack_from("<H", raw, at + 16)[0] + 1
+        before += struct.unpack_from("<I", raw, at - 4)[0]
+    place = blocks[-1][0] - sum(len(encode(x)) for x in lines)
+    spans = []  # (begin, end, virtual offset)
+    for x in lines:
+        within, offset = max(b for b in blocks if b[0] <= place)
+        begin = int(x.split("\t")[3]) - 1
+        spans.append((begin, begin + 100_000, offset << 16 | place - within))
+        place += len(encode(x))
+    windows = [min(v for b, e, v in spans if b < (k + 1) << 14 and e > k << 14) for k in range(spans[-1][1] // (1 << 14))]
+    (tmp_path / "i.bam.bai").write_bytes(b"BAI\1" + struct.pack("<iii", 2, 0, len(windows)) + b"".join(struct.pack("<Q", v) for v in windows) + struct.pack("<ii", 0, 0))
+    for k in range(1, 5):
+        begin = spans[-k - 1][1] + 1_000
+        assert names_by_part(tmp_path / "i.bam", 64 << 20, f"chr1:{begin}-{begin + 500}") == [[f"long{i}" for i in range(8 - k, 8) if spans[i][0] < begin + 500]]
+
+
+def test_records_that_end_with_their_block(tmp_path):
+    short = ["\t".join([f"s{i}", "0", "chr1", "101", "60", "4M", "*", "0", "0", "ACGA", "ABCD"]) for i in range(12)]
+    end = bgzf(b"", 1)
+    pairs = [b"".join(encode(x) for x in short[i : i + 2]) for i in range(2, 12, 2)]
+    text = b"@HD\tVN:1.6\n"
+    head = b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", 1) + struct.pack("<i", 5) + b"chr1\0" + struct.pack("<i", 100000)
+    first = encode(long_reads(1, 70_000)[0])
+    chunks = [head, first[:60_000], first[60_000:] + encode(short[0]) + encode(short[1]), *pairs]
+    (tmp_path / "s.bam").write_bytes(b"".join(bgzf(c, len(c))[: -len(end)] for c in chunks) + end)
+    for split in (100, 1_000, 30_000, 50_000):
+        assert [x for part in names_by_part(tmp_path / "s.bam", split) for x in part] == ["long0", *(f"s{i}" for i in range(12))]
+
+
 def test_bed_files(spark, tmp_path):
     (tmp_path / "x.bed").write_text("# note\nchr1\t10\t20\t-\t5\nchr2\t30\t40\tname\nchr3\t1\t2\n\n")
     got = bed.read_regions(spark, str(tmp_path / "x.bed")).orderBy("region_idx").collect()
