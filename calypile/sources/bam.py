@@ -157,7 +157,7 @@ def synchronise(b: Blocks, n_ref: int, run: int = 4) -> bool:
 
 
 def tags(data: bytes) -> dict[str, object]:
-    """The modification tags of a record's optional fields."""
+    """The modification tags of a record's optional fields, and the operations in CG."""
     out: dict[str, object] = {}
     at = 0
     while at + 3 <= len(data):
@@ -169,11 +169,11 @@ def tags(data: bytes) -> dict[str, object]:
             at = end + 1
         elif kind == "B":
             sub, n = chr(data[at]), struct.unpack_from("<i", data, at + 1)[0]
-            value = list(struct.unpack_from(f"<{n}{_FORMATS[sub]}", data, at + 5)) if name in ("Ml", "ML") else None
+            value = list(struct.unpack_from(f"<{n}{_FORMATS[sub]}", data, at + 5)) if name in ("Ml", "ML") or (name == "CG" and sub in "Ii") else None
             at += 5 + n * _SIZES[sub]
         else:
             value, at = None, at + _SIZES[kind]
-        if name in ("Mm", "MM", "Ml", "ML"):
+        if name in ("Mm", "MM", "Ml", "ML", "CG"):
             out.setdefault(name.lower(), value)
     return out
 
@@ -192,6 +192,8 @@ def record(data: bytes, names: list[str]) -> tuple:
     seq = "".join([_PAIRS[x] for x in packed])[:l_seq] or None
     quals = None if not l_seq or raw[0] == 255 else list(raw)
     own = tags(data[at + l_seq :])
+    if n_cigar == 2 and ops[0] == l_seq << 4 | _CIGAR.index("S") and _CIGAR[ops[1] & 15] == "N" and own.get("cg"):
+        ops = [x & 0xFFFFFFFF for x in own["cg"]]  # more than 65,535 operations: the fixed field holds only a placeholder
     mapped = ref >= 0 and not flag & 4
     cigar = "".join(f"{x >> 4}{_CIGAR[x & 15]}" for x in ops) or None
     end = pos + sum(x >> 4 for x in ops if _CIGAR[x & 15] in "MDN=X") if mapped else None

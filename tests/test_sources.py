@@ -5,6 +5,7 @@ import zlib
 import pytest
 
 from calypile import api, cli
+from calypile.operators.decode import reference_positions
 from calypile.sources import bam, bed, sam, tables
 
 SAM = [
@@ -149,6 +150,19 @@ def test_records_that_end_with_their_block(tmp_path):
         assert [x for part in names_by_part(tmp_path / "s.bam", split) for x in part] == ["long0", *(f"s{i}" for i in range(12))]
 
 
+def test_operations_in_the_cg_tag(tmp_path):
+    n = 40_000
+    seq, cigar = "ACG" * n, "2M1I" * n
+    ops = b"".join(struct.pack("<I", k << 4 | op) for k, op in ((2, 0), (1, 1))) * n
+    plain_record = encode(f"r\t0\tchr1\t101\t60\t{3 * n}S{2 * n}N\t*\t0\t0\t{seq}\t*\tMm:Z:C+m,0;\tMl:B:C,200")[4:]
+    got = bam.record(plain_record + b"CGBI" + struct.pack("<i", 2 * n) + ops + b"MNC\1", ["chr1", "chr2"])
+    assert got[3:5] == (100, 100 + 2 * n) and got[6] == cigar and got[9:] == ("C+m,0;", [200])
+    assert (reference_positions(got[6], got[3]) >= 0).sum() == 2 * n
+    assert bam.record(plain_record, ["chr1", "chr2"])[6] == f"{3 * n}S{2 * n}N"
+    own = encode("r\t0\tchr1\t101\t60\t4M\t*\t0\t0\tACGT\t*")[4:] + b"CGBI" + struct.pack("<i", 2) + ops[:8]
+    assert bam.record(own, ["chr1", "chr2"])[6] == "4M"
+
+
 def test_bed_files(spark, tmp_path):
     (tmp_path / "x.bed").write_text("# note\nchr1\t10\t20\t-\t5\nchr2\t30\t40\tname\nchr3\t1\t2\n\n")
     got = bed.read_regions(spark, str(tmp_path / "x.bed")).orderBy("region_idx").collect()
