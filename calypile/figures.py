@@ -1,4 +1,4 @@
-"""Figure data as files: each result as JSON lines written by Spark, and one HTML page with bounded excerpts drawn as SVG."""
+"""Figure data as files: each result as JSON lines written by Spark, and one HTML page with plots of all rows, drawn pixel by pixel as SVG."""
 
 from __future__ import annotations
 
@@ -7,9 +7,10 @@ import json
 import os
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-#: Points drawn in a page; the JSON holds all rows.
-DRAWN = 5000
+#: The size of a plot in pixels.
+WIDTH, HEIGHT, MARGIN = 900, 260, 10
 
 
 def write_data(frames: dict[str, DataFrame], folder: str) -> dict[str, str]:
@@ -21,26 +22,34 @@ def write_data(frames: dict[str, DataFrame], folder: str) -> dict[str, str]:
     return out
 
 
-def _svg(points: list[tuple[float, float, str]], width: int = 900, height: int = 260) -> str:
-    if not points:
+def _pixels(df: DataFrame, x: str, y: str, cls: str) -> tuple[list[tuple[int, int, str]], list[float], int]:
+    """(pixels with a point of each class, least and greatest x and y, number of points) of all rows."""
+    points = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(cls).cast("string").alias("c")).where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    *ends, n = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count("*")).first()
+    if not n:
+        return [], [], 0
+    x0, x1, y0, y1 = ends
+    across = F.round((F.col("x") - x0) * ((WIDTH - 2 * MARGIN) / ((x1 - x0) or 1))).cast("int")
+    up = F.round((F.col("y") - y0) * ((HEIGHT - 2 * MARGIN) / ((y1 - y0) or 1))).cast("int")
+    return [(r[0], r[1], str(r[2])) for r in points.select(across, up, "c").distinct().collect()], ends, n
+
+
+def _svg(pixels: list[tuple[int, int, str]], ends: list[float], n: int) -> str:
+    if not n:
         return "<p>no data</p>"
-    xs, ys = [p[0] for p in points], [p[1] for p in points]
-    x0, x1, y0, y1 = min(xs), max(xs), min(ys), max(ys)
-    sx, sy = (width - 20) / ((x1 - x0) or 1), (height - 20) / ((y1 - y0) or 1)
-    dots = "".join(f'<circle cx="{10 + (x - x0) * sx:.1f}" cy="{height - 10 - (y - y0) * sy:.1f}" r="1.5" class="{html.escape(c)}"/>' for x, y, c in points)
-    return f'<svg viewBox="0 0 {width} {height}" width="{width}" height="{height}">{dots}</svg><p>{x0:g} to {x1:g}, {y0:g} to {y1:g}</p>'
+    x0, x1, y0, y1 = ends
+    dots = "".join(f'<circle cx="{MARGIN + x}" cy="{HEIGHT - MARGIN - y}" r="1.5" class="{html.escape(c)}"/>' for x, y, c in sorted(pixels))
+    return f'<svg viewBox="0 0 {WIDTH} {HEIGHT}" width="{WIDTH}" height="{HEIGHT}">{dots}</svg><p>{n} points, {x0:g} to {x1:g}, {y0:g} to {y1:g}</p>'
 
 
 def write_page(path: str, title: str, scatters: dict[str, tuple[DataFrame, str, str, str]], tables: dict[str, DataFrame]) -> str:
-    """A page of scatter plots (frame, x, y, class column) and small tables; at most DRAWN rows of each are fetched."""
+    """A page of scatter plots (frame, x, y, class column) of all rows, reduced to pixels before they are fetched, and tables."""
     body = [f"<h1>{html.escape(title)}</h1>"]
     for name, (df, x, y, cls) in scatters.items():
-        rows = df.where(df[x].isNotNull() & df[y].isNotNull()).select(x, y, cls).limit(DRAWN).collect()
-        body.append(f"<h2>{html.escape(name)}</h2>" + _svg([(float(r[0]), float(r[1]), str(r[2])) for r in rows]))
+        body.append(f"<h2>{html.escape(name)}</h2>" + _svg(*_pixels(df, x, y, cls)))
     for name, df in tables.items():
-        rows = df.limit(DRAWN).collect()
         head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
-        lines = "".join("<tr>" + "".join(f"<td>{html.escape(json.dumps(v, default=str))}</td>" for v in r) + "</tr>" for r in rows)
+        lines = "".join("<tr>" + "".join(f"<td>{html.escape(json.dumps(v, default=str))}</td>" for v in r) + "</tr>" for r in df.toLocalIterator())
         body.append(f"<h2>{html.escape(name)}</h2><table><tr>{head}</tr>{lines}</table>")
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     with open(path, "w", encoding="utf-8") as f:

@@ -4,7 +4,7 @@ import zlib
 
 import pytest
 
-from calypile import api, cli
+from calypile import api, cli, figures
 from calypile.operators.decode import reference_positions
 from calypile.sources import bam, bed, sam, tables
 
@@ -209,6 +209,15 @@ def test_reports(spark, files, tmp_path):
     assert report["totals"].first()["n_reads"] == 4
 
 
+def test_pages_show_all_rows(spark, tmp_path):
+    rows = spark.range(20_000).selectExpr("id as x", "cast(id = 19999 as int) as y", "if(id = 19999, 'C', 'A') as family")
+    none = rows.where("x < 0")
+    page = open(figures.write_page(str(tmp_path / "p.html"), "t", {"p": (rows, "x", "y", "family"), "q": (none, "x", "y", "family")}, {"n": rows.where("x < 6000")})).read()
+    assert page.count('class="A"') == 881 and page.count('<circle cx="890" cy="10" r="1.5" class="C"/>') == 1
+    assert "20000 points, 0 to 19999, 0 to 1" in page and "no data" in page
+    assert page.count("<tr>") == 6001
+
+
 def test_errors(spark, files):
     one, bed_path = str(files / "one.bam"), str(files / "w.bed")
     with pytest.raises(RuntimeError):
