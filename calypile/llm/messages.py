@@ -17,7 +17,12 @@ _BASE64 = re.compile(r"[^A-Za-z0-9+/]")
 #: Text that is seen only where scripts or images are off, or never.
 _UNSEEN = re.compile(r"<!--.*?(?:-->|\Z)|<(head|style|script|title|template)\b.*?(?:</\1\s*>|\Z)|<(noscript)\b[^<>]*>.*?(?:</\2\s*>|\Z)", re.I | re.S)
 _OPENING = re.compile(r"<(\w{1,20})\b([^<>]{1,2000})>")
-_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|font-size\s*:\s*0|max-height\s*:\s*0|\bhidden\b(?!-)", re.I)
+_HIDDEN = re.compile(r"""display\s*:\s*none|visibility\s*:\s*hidden|(?:font-size|max-height)\s*:\s*0{1,4}(?:\.0{1,4})?(?:[a-z]{1,4}|%)?(?=[\s;!"'>]|$)""", re.I)
+_HIDDEN_FLAG = re.compile(r"""(?<![^\s"'])hidden(?=[\s/=>]|$)""", re.I)
+_VALUE = re.compile(r"\"[^\"]*\"|'[^']*'")
+#: Styles under which the source's own blanks and line ends are shown.
+_KEPT_SPACE = re.compile(r"white-space\s*:\s*(?:pre|break-spaces)", re.I)
+_SPACE = re.compile(r"[ \t\n\f]+")
 _QUOTED_HTML = re.compile(r"<(/?)(?:blockquote)\b[^<>]*>", re.I)
 _CODE = re.compile(r"<(pre|code|kbd|samp|tt)\b[^<>]*>(.*?)</(?:pre|code|kbd|samp|tt)\s*>", re.I | re.S)
 _BREAK = re.compile(r"<br\b[^<>]*>\s*\n?", re.I)
@@ -100,12 +105,12 @@ def _without_quotes(markup: str) -> str:
 
 def _without_hidden(markup: str) -> str:
     """HTML without elements whose own attributes hide them; one without a closing tag stays."""
-    if not _HIDDEN.search(markup):
+    if not (_HIDDEN.search(markup) or _HIDDEN_FLAG.search(markup)):
         return markup
     low, out, at, missing = markup.lower(), [], 0, set()
     for m in _OPENING.finditer(markup):
         name = m[1].lower()
-        if m.start() < at or name in missing or not _HIDDEN.search(m[2]):
+        if m.start() < at or name in missing or not (_HIDDEN.search(m[2]) or _HIDDEN_FLAG.search(_VALUE.sub('""', m[2]))):
             continue
         end = low.find(f"</{name}", m.end())
         if end < 0:
@@ -117,18 +122,26 @@ def _without_hidden(markup: str) -> str:
     return "".join(out) + markup[at:]
 
 
-def _code_indented(markup: str) -> str:
-    """Code elements as blocks of indented lines; only up to the last closing tag, as no opening one behind it can match."""
+def _code_marked(markup: str, kept: bool) -> str:
+    """Code elements as blocks of marked lines, other white space as one blank unless it is kept; only up to the last closing tag, as no opening one behind it can match."""
     last = max((m.end() for m in re.finditer(r"</(?:pre|code|kbd|samp|tt)\s*>", markup, re.I)), default=0)
-    indent = lambda m: "\n\n" + re.sub(r"^", "    ", _BREAK.sub("\n", m[2]), flags=re.M) + "\n\n"
-    return _CODE.sub(indent, markup[:last]) + markup[last:]
+    flat = (lambda x: x) if kept else (lambda x: _SPACE.sub(" ", x))
+    out, at = [], 0
+    for m in _CODE.finditer(markup, 0, last):
+        out += [flat(markup[at : m.start()]), "\n\n" + re.sub(r"^", "\x01", _BREAK.sub("\n", m[2]), flags=re.M) + "\n\n"]
+        at = m.end()
+    return "".join(out) + flat(markup[at:])
 
 
 def shown_html(markup: str) -> str:
     """The text an HTML part shows, block by block; code elements are indented as code is in plain text."""
-    markup = _code_indented(_without_quotes(_without_hidden(_UNSEEN.sub(" ", markup))))
-    markup = _ITEM.sub("\n", _BLOCK.sub("\n\n", _BREAK.sub("\n", markup)))
-    return html.unescape(_TAG.sub("", markup)).replace("\xa0", " ")
+    markup = _without_quotes(_without_hidden(_UNSEEN.sub(" ", markup.replace("\x01", " "))))
+    kept = bool(_KEPT_SPACE.search(markup))
+    markup = _ITEM.sub("\n", _BLOCK.sub("\n\n", _BREAK.sub("\n", _code_marked(markup, kept))))
+    markup = _TAG.sub("", markup)
+    if not kept:
+        markup = re.sub(r"^ +", "", markup, flags=re.M)  # also what stood between tags
+    return html.unescape(markup.replace("\x01", "    ")).replace("\xa0", " ")
 
 
 def repaired(text: str) -> str:

@@ -5,7 +5,8 @@ The positives are trusted passages only: placeholders that stand alone in a gree
 and filler that are all there is in a message. All others are unlabelled: they start as negatives, and each round gives them
 their posterior under the model of the round before. The final model scores every passage, and a record is decided from its
 passages: a placeholder or missing value counts if its passage scores as residue and it stands in running text, not in code
-or quotation marks; other residue counts only if the record holds no ordinary content of its own beside it.
+or quotation marks; other residue counts only if the record holds no ordinary content of its own beside it. What stands behind a
+colon may be cited: the words before the colon are features of it.
 
 Texts are parsed once, in their partition. What is kept of a message is a nested list of hashed features, written to the checkpoint
 folder; a round is one pass over those, and what reaches the driver is at most 2 * 2**HASH_BITS numbers. Null, empty and blank
@@ -45,6 +46,8 @@ BARE_WORDS, SHORT_WORDS = 60, 25
 KNOWN_WORDS = 500_000
 #: Words from which a paragraph counts as content of its own.
 CONTENT_WORDS = 5
+#: Words before a colon that tell of the passage behind it.
+LEAD_WORDS = 8
 
 # --- fixed values: the forms in which systems leave placeholders, and the words they print for a missing value
 
@@ -119,10 +122,10 @@ def _is_code(paragraph: str) -> bool:
 class Passage:
     """What the decision needs of one paragraph."""
 
-    __slots__ = ("after_colon", "code", "kind", "low", "repeats", "size", "slots", "text", "words")
+    __slots__ = ("after", "code", "kind", "low", "repeats", "size", "slots", "text", "words")
 
-    def __init__(self, paragraph: str, after_colon: bool):
-        self.after_colon = after_colon
+    def __init__(self, paragraph: str, after: tuple[str, ...]):
+        self.after = after
         self.code = _is_code(paragraph)
         text = " ".join(paragraph.split())
         self.slots = 0
@@ -163,6 +166,12 @@ class Passage:
         parts = [x for x in _SENTENCE.split(self.text) if x]
         return len(parts) >= 3 and len(set(parts)) * 3 <= len(parts)
 
+    def announces(self) -> tuple[str, ...]:
+        """Features for the passage behind a colon, which may be cited or not: the colon and the last words before it."""
+        if self.kind != "body" or not self.text.endswith((":", "：", " read")):
+            return ()
+        return "¶aftercolon¶", *(f"¶<{w}¶" for w in dict.fromkeys(self.words[-LEAD_WORDS:]) if w[0] != "¶" and not w.isdigit())
+
     def filler(self) -> bool:
         """Known filler, repetition, or words typed on neighbouring keys."""
         if self.repeats or _FILLER.match(self.low):
@@ -197,17 +206,17 @@ def read(text: str | None, tokens=word_tokens) -> list[tuple[set, int, float, in
     passages: list[Passage] = []
     seen: set[str] = set()
     for part in own_paragraphs(text):
-        after = False
+        after: tuple[str, ...] = ()
         for paragraph in part:
             p = Passage(paragraph, after)
-            after = p.kind == "body" and p.text.endswith((":", "：", " read"))
+            after = p.announces()
             if (p.kind == "short" and p.low in ("link", "click")) or p.text in seen:
                 continue
             seen.add(p.text)
             passages.append(p)
     body = [p for p in passages if p.kind in ("body", "short")]
     spoken = any(p.kind in ("greeting", "closing") for p in passages)
-    slot_record = any(p.slots and p.kind in ("greeting", "closing") and len(p.words) - p.slots <= 5 for p in passages)
+    slot_record = any(p.slots and not p.after and p.kind in ("greeting", "closing") and len(p.words) - p.slots <= 5 for p in passages)
     total = sum(p.size for p in body)
     alone = bool(body) and not spoken and not any(p.slots or p.code for p in body)
     bare = alone and body[0].says() and total <= BARE_WORDS
@@ -221,14 +230,13 @@ def read(text: str | None, tokens=word_tokens) -> list[tuple[set, int, float, in
         if id(p) in filler:
             own.update(tokens("¶filler¶"))
         own.update(tokens(f"¶{p.kind}¶"))
-        if p.after_colon:
-            own.update(tokens("¶aftercolon¶"))
+        for w in p.after:
+            own.update(tokens(w))
         if in_body:
             own.update(tokens("¶among¶" if plain - (p.kind == "body" and p.size >= 6) > 1 else "¶spoken¶" if spoken else "¶bare¶"))
-        slots = 0 if p.after_colon else p.slots
-        trusted = (slots and slot_record) or (in_body and (bare or id(p) in filler))
+        trusted = (p.slots and slot_record) or (in_body and (bare or id(p) in filler))
         content = 2 if p.kind == "body" and p.size >= CONTENT_WORDS else int(in_body)
-        out.append((own, slots, 1.0 if trusted else SUSPECT if in_body and suspect else 0.0, content))
+        out.append((own, p.slots, 1.0 if trusted else SUSPECT if in_body and suspect else 0.0, content))
     return out
 
 

@@ -37,6 +37,20 @@ def test_html_and_multiparts():
     assert repaired("Å\x93uvre dÃ©jÃ\xa0 vu") == "œuvre déjà vu" and repaired("déjà") == "déjà"
 
 
+def test_html_source_indentation_is_not_shown():
+    page = "<body>\n  <table>\n    <tr>\n\t<td>\n\t <b> Dear {{name}},\n\n</b><br>\n    one  line\n</td></tr></table><pre>\n  x {{y}}\n</pre></body>"
+    assert flat(mail(page, "text/html")) == ["Dear {{name}},\none line", "      x {{y}}"]
+    assert [R.Passage(p, False).slots for p in flat(mail(page, "text/html"))] == [1, 0]
+    assert flat(mail("<div style='white-space: pre-wrap'>a\n    b</div>", "text/html")) == ["a\n    b"]
+
+
+def test_only_hidden_elements_are_dropped():
+    for shown in ('style="overflow:hidden"', 'style="overflow: hidden"', "style='font-size:0.9em'", 'style="font-size: 0.75rem; color:red"', 'aria-hidden="true"', 'title="now hidden here"'):
+        assert flat(mail(f"<p>a</p><div {shown}>{{{{h}}}}</div>", "text/html")) == ["a", "{{h}}"]
+    for hidden in ("hidden", 'class="x" hidden', 'hidden=""', 'style="font-size:0"', "style='font-size: 0px;color:red'", "style=font-size:0", 'style="max-height:0.0em"', 'style="display: none"', 'style="visibility:hidden"'):
+        assert flat(mail(f"<p>a</p><div {hidden}>{{{{h}}}}</div>", "text/html")) == ["a"]
+
+
 @pytest.mark.parametrize("form", ["{{ name }}", "{{name | default}}", "${first_name}", "#{city}", "<%= Order_Id %>", "{% print room %}", "<<Full Name>>", "«last_name»", "%%CITY%%", "[%full_name%]", "*|FNAME|*", "__AMOUNT__", "@@USER.NAME@@", "[[last name]]", "[enter date]", "[YOUR company]", "(your name here)", "%(City)s", "{0}", "{user.name}", "undefined", "null", "NaN", "[object Object]"])
 def test_slots_in_running_text_only(form):
     assert R.Passage(f"Dear {form},", False).slots == 1
@@ -100,6 +114,17 @@ def test_found(spark):
     assert {r["doc_id"] for r in R.residue(df.limit(0), "doc_id", "text").collect()} == set()
 
 
+def test_slots_behind_a_colon_are_weighed(spark):
+    rows, want = corpus()
+    for i in range(3):
+        want.add(len(rows))
+        rows.append((len(rows), mail(f"Dear Ann,\n\nyour access data for the store are:\n\nyour number is {{{{id}}}}\n\n{ORDINARY[i]}\n\nKind regards,\nBo"), ""))
+    for i in range(12):
+        rows.append((len(rows), mail(f"Dear Ann,\n\nIn the letter script the first line must read\n\nDear {{{{name{i}}}}},\n\nand the value comes from the sheet.\n\n{ORDINARY[i % 5]}\n\nBest,\nBo"), ""))
+    got = R.decide(spark.createDataFrame(rows, "doc_id bigint, text string, features string").repartition(5), "doc_id", "text").collect()
+    assert {r["doc_id"] for r in got if r["found"]} == want
+
+
 def test_nothing_trusted(spark):
     df = spark.createDataFrame([(i, mail(f"Dear Ann,\n\n{t}\n\nBest,\nBo")) for i, t in enumerate(ORDINARY)], "doc_id bigint, text string")
     assert [r["found"] for r in R.decide(df, "doc_id", "text").collect()] == [False] * 5
