@@ -9,8 +9,8 @@ or quotation marks; other residue counts only if the record holds no ordinary co
 colon may be cited: the words before the colon are features of it.
 
 Texts are parsed once, in their partition. What is kept of a message is a nested list of hashed features, written to the checkpoint
-folder; a round is one pass over those, and what reaches the driver is at most 2 * 2**HASH_BITS numbers. Null, empty and blank
-texts have no passages and are never found; equal texts get equal decisions.
+folder; a round is one pass over those, and what reaches the driver is two numbers for each feature of at least LEAST passages.
+Null, empty and blank texts have no passages and are never found; equal texts get equal decisions.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ from calypile.llm.messages import own_paragraphs
 from calypile.llm.tokens import strings
 from calypile.session import checkpointed
 
-HASH_BITS = 17
+#: Features are told apart by so many bits: all that a stored int holds without its sign.
+HASH_BITS = 31
 ROUNDS = 4
 #: A passage counts as residue above this log-odds, and as ordinary content below it.
 CUT = 0.0
@@ -281,28 +282,29 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Log-odds of each hashed feature and of the classes."""
+    """Log-odds of each feature that counts and of the classes."""
 
-    def __init__(self, positive: np.ndarray, negative: np.ndarray, n_positive: float, n_negative: float):
-        a, b = positive.sum() + 1e-9, negative.sum() + 1e-9
+    def __init__(self, features: np.ndarray, positive: np.ndarray, negative: np.ndarray, a: float, b: float, n_positive: float, n_negative: float):
+        """features in order, and their counts; a and b are the counts of all features, also of those left out."""
+        a, b = a + 1e-9, b + 1e-9
         # each class gets pseudo-counts in proportion to its size, so that a feature neither has seen says nothing
-        self.weights = np.log((positive + SMOOTHING * a / (a + b)) / a) - np.log((negative + SMOOTHING * b / (a + b)) / b)
-        self.weights[positive + negative < LEAST] = 0.0
+        weights = np.log((positive + SMOOTHING * a / (a + b)) / a) - np.log((negative + SMOOTHING * b / (a + b)) / b)
+        self.features, self.weights = np.append(features, 1 << HASH_BITS), np.append(weights, 0.0)
         self.prior = float(np.log(max(n_positive, 1.0)) - np.log(max(n_negative, 1.0)))
 
     def scores(self, features: np.ndarray, passage: np.ndarray, n: int) -> np.ndarray:
-        return self.prior + np.bincount(passage, weights=self.weights[features], minlength=n)
+        at = np.searchsorted(self.features, features)
+        return self.prior + np.bincount(passage, weights=np.where(self.features[at] == features, self.weights[at], 0.0), minlength=n)
 
 
 def fit(parsed: DataFrame, rounds: int = ROUNDS) -> Model | None:
     """The model after the given rounds over all passages; None if nothing is trusted."""
-    size, sc = 1 << HASH_BITS, parsed.sparkSession.sparkContext
+    sc = parsed.sparkSession.sparkContext
 
-    def round_of(model: Model | None) -> tuple[np.ndarray, np.ndarray, float, float]:
+    def round_of(model: Model | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float, float, float]:
         shared = sc.broadcast(model)
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pos, neg = np.zeros(size + 1), np.zeros(size + 1)
             for batch in batches:
                 trusted = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float)
                 features, passage = _flat(batch.column(0))
@@ -312,26 +314,25 @@ def fit(parsed: DataFrame, rounds: int = ROUNDS) -> Model | None:
                 if shared.value is not None:
                     z = shared.value.scores(features, passage, len(trusted))
                     w = np.where(trusted == 1, 1.0, 1 / (1 + np.exp(-np.clip(z, -30, 30))))
-                pos[:size] += np.bincount(features, weights=w[passage], minlength=size)
-                neg[:size] += np.bincount(features, weights=1 - w[passage], minlength=size)
-                pos[size] += w.sum()
-                neg[size] += (1 - w).sum()
-            at = np.flatnonzero((pos > 0) | (neg > 0))
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(pos[at]), pa.array(neg[at])], names=["f", "p", "n"])
-
-        got = parsed.select("features", "trusted").mapInArrow(count, "f bigint, p double, n double").groupBy("f").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).toPandas()
-        pos, neg = np.zeros(size + 1), np.zeros(size + 1)
-        pos[got["f"]], neg[got["f"]] = got["p"], got["n"]
-        return pos[:size], neg[:size], pos[size], neg[size]
+                own, at = np.unique(features, return_inverse=True)
+                pos, neg = np.bincount(at, weights=w[passage], minlength=len(own)), np.bincount(at, weights=1 - w[passage], minlength=len(own))
+                # -1 has the passages, -2 the sums over all features
+                f, p, n = np.append(own, [-1, -2]), np.append(pos, [w.sum(), pos.sum()]), np.append(neg, [(1 - w).sum(), neg.sum()])
+                yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(p), pa.array(n)], names=["f", "p", "n"])
+
+        got = parsed.select("features", "trusted").mapInArrow(count, "f bigint, p double, n double").groupBy("f").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+        got = got.where(f"f < 0 or p + n > {LEAST - 0.5}").toPandas().sort_values("f")
+        known, total = got[got["f"] >= 0], got.set_index("f")[["p", "n"]].reindex([-1, -2], fill_value=0.0).to_numpy()
+        return known["f"].to_numpy(), known["p"].to_numpy(), known["n"].to_numpy(), *total[1], *total[0]
 
     model, trusted = None, (0.0, 0.0)
     for _ in range(rounds):
-        pos, neg, n_pos, n_neg = round_of(model)
+        *counts, n_pos, n_neg = round_of(model)
         if model is None:
             if not n_pos:
                 return None
             trusted = n_pos, n_neg
-        model = Model(pos, neg, *trusted)  # the prior stays that of the trusted, or the positives would spread to greetings
+        model = Model(*counts, *trusted)  # the prior stays that of the trusted, or the positives would spread to greetings
     return model
 
 

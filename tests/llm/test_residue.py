@@ -114,6 +114,10 @@ def test_found(spark):
     assert {r["doc_id"] for r in R.residue(df.limit(0), "doc_id", "text").collect()} == set()
 
 
+def test_many_words_keep_their_own_weights():
+    assert len({R._hash(f"w{i}") for i in range(300_000)}) > 299_900
+
+
 def test_slots_behind_a_colon_are_weighed(spark):
     rows, want = corpus()
     for i in range(3):
