@@ -142,7 +142,7 @@ def layers(read_extents: DataFrame, keys: list[str], limit: int = LAYERS) -> Dat
     """
     wide = read_extents.withColumn("_end", F.col("posmax") + 1)
     islands = periods(wide, keys, "posmin", "_end", "_from", "_to")
-    inside = overlap_join(wide, islands, "posmin", "_end", "_from", "_to", tuple(keys), binned=True).drop("_end", "_to")
+    inside = overlap_join(wide, islands, "posmin", "_end", "_from", "_to", tuple(keys), few=False).drop("_end", "_to")
 
     names = [*keys, "_from"]
 

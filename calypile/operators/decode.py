@@ -21,12 +21,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from calypile.functions.reads import aligned_blocks, reverse_complement
+from calypile.session import spread
 
 BASEMODS = {"A": "A", "CG": "C", "A+CG": "AC"}
 _SEGMENT = re.compile(r"([ACGTUN])([+-])([^,?.]+)[?.]?((?:,\d+)*)$")
 _HEAD = r"^([ACGTUN])([+-])([^,?.]+)[?.]?$"
 _OP = re.compile(r"(\d+)([MIDNSHP=X])")
 _COMPLEMENT = bytes.maketrans(b"ACGTacgt", b"TGCAtgca")
+#: Sites after which a batch is sent back to the JVM.
+BATCH_SITES = 1 << 19
 SITES = "mod_idx int, mod string, pos bigint, prob int, called boolean, methylated boolean"
 
 
@@ -92,67 +95,59 @@ def decode_read(flag: int, start: int, cigar: str, seq: str, mm: str | None, ml:
     return out, lost
 
 
-def inside_any(pos: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Which positions lie in at least one of the spans [lo, hi)."""
-    if not len(lo):
-        return np.zeros(len(pos), bool)
-    order = np.argsort(lo, kind="stable")
-    reach = np.maximum.accumulate(hi[order])
-    at = np.searchsorted(lo[order], pos, "right") - 1
-    return (at >= 0) & (pos < reach[np.maximum(at, 0)])
-
-
-def _bases(basemod: str) -> str:
+def bases_of(basemod: str) -> str:
     if basemod not in BASEMODS:
         raise ValueError(f"basemod is one of {', '.join(BASEMODS)}, not {basemod!r}")
     return BASEMODS[basemod]
 
 
-def decode(reads: DataFrame, keep: list[str], basemod: str = "A+CG", thresh_a: int = 129, thresh_c: int = 129, spans: str | None = None) -> DataFrame:
+def decode(reads: DataFrame, keep: list[str], basemod: str = "A+CG", thresh_a: int = 129, thresh_c: int = 129) -> DataFrame:
     """(keep columns, mod_idx, mod, pos, prob, called, methylated): a row per candidate base of the requested modifications.
 
-    reads has flag, start, cigar, seq, mm, ml. keep may hold columns of any type, arrays of regions included. spans names a column
-    array<struct<lo bigint, hi bigint>>; only sites in one of their read's spans [lo, hi) are returned then.
+    reads has flag, start, cigar, seq, mm, ml. keep may hold columns of any type.
     """
-    bases, thresholds = _bases(basemod), {"A": thresh_a, "C": thresh_c}
-    needed = ["flag", "start", "cigar", "seq", "mm", "ml", *([spans] if spans else [])]
+    bases, thresholds = bases_of(basemod), {"A": thresh_a, "C": thresh_c}
+    k = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k = len(keep)
             flag, start, cigar, seq, mm = (batch.column(k + i).to_pylist() for i in range(5))
             ml = batch.column(k + 5)
-            row, parts = [], []
+            row, parts, held = [], [], 0
+
+            def out() -> pa.RecordBatch:
+                at = pa.array(np.concatenate(row) if row else np.empty(0, np.int64))
+                column = lambda j, t: pa.array(np.concatenate([p[j] for p in parts]) if parts else np.empty(0), t)
+                sizes = [len(p[2]) for p in parts]
+                return pa.RecordBatch.from_arrays(
+                    [
+                        *[batch.column(i).take(at) for i in range(k)],
+                        pa.array(np.repeat([p[0] for p in parts], sizes).astype(np.int32) if parts else [], pa.int32()),
+                        pa.array([p[1] for p in parts], pa.string()).take(pa.array(np.repeat(np.arange(len(parts)), sizes))),
+                        column(2, pa.int64()), column(3, pa.int32()), column(4, pa.bool_()), column(5, pa.bool_()),
+                    ],
+                    names=[*keep, *(f.split()[0] for f in SITES.split(", "))],
+                )
+
             for i in range(batch.num_rows):
                 values = ml[i].values
                 got, _ = decode_read(flag[i] or 0, start[i], cigar[i], seq[i], mm[i], None if values is None else values.to_numpy(zero_copy_only=False), bases, thresholds)
-                bounds = batch.column(k + 6)[i].values if spans and got else None
                 for g in got:
-                    if spans:
-                        near = inside_any(g[2], *(bounds.field(f).to_numpy(zero_copy_only=False) for f in ("lo", "hi"))) if bounds is not None else np.zeros(len(g[2]), bool)
-                        g = (*g[:2], *(x[near] for x in g[2:]))
                     row.append(np.full(len(g[2]), i))
                     parts.append(g)
-            at = pa.array(np.concatenate(row) if row else np.empty(0, np.int64))
-            column = lambda j, t: pa.array(np.concatenate([p[j] for p in parts]) if parts else np.empty(0), t)  # noqa: B023, E731
-            sizes = [len(p[2]) for p in parts]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *[batch.column(i).take(at) for i in range(k)],
-                    pa.array(np.repeat([p[0] for p in parts], sizes).astype(np.int32) if parts else [], pa.int32()),
-                    pa.array([p[1] for p in parts], pa.string()).take(pa.array(np.repeat(np.arange(len(parts)), sizes))),
-                    column(2, pa.int64()), column(3, pa.int32()), column(4, pa.bool_()), column(5, pa.bool_()),
-                ],
-                names=[*keep, *(f.split()[0] for f in SITES.split(", "))],
-            )
+                    held += len(g[2])
+                if held >= BATCH_SITES:
+                    yield out()
+                    row, parts, held = [], [], 0
+            yield out()
 
     kinds = ", ".join(f"`{c}` {reads.schema[c].dataType.simpleString()}" for c in keep)
-    return reads.select(*[F.col(f"`{c}`") for c in keep], *needed).mapInArrow(run, f"{kinds}, {SITES}" if keep else SITES)
+    return spread(reads).select(*[F.col(f"`{c}`") for c in keep], "flag", "start", "cigar", "seq", "mm", "ml").mapInArrow(run, f"{kinds}, {SITES}" if keep else SITES)
 
 
 def decode_relational(reads: DataFrame, key: str, basemod: str = "A+CG", thresh_a: int = 129, thresh_c: int = 129) -> DataFrame:
     """decode() with keep = [key], in DataFrame operations; key is unique in reads."""
-    bases = _bases(basemod)
+    bases = bases_of(basemod)
     forward = F.when(F.col("flag").bitwiseAND(F.lit(16)) != 0, reverse_complement(F.upper("seq"))).otherwise(F.upper("seq"))
     k = F.col(f"`{key}`").alias("k")
     own = reads.where("mm is not null and start is not null and seq is not null and seq not in ('', '*')").select(k, "flag", "ml", "mm", forward.alias("fseq"), aligned_blocks(F.col("cigar"), F.col("start")).alias("blocks"))
@@ -189,7 +184,7 @@ def decode_relational(reads: DataFrame, key: str, basemod: str = "A+CG", thresh_
 
 def tag_quality(reads: DataFrame, key: str, basemod: str = "A+CG") -> DataFrame:
     """(key, n_segments, n_lost) of each read: well-formed segments, and calls for which the read has no base or no probability."""
-    bases = _bases(basemod)
+    bases = bases_of(basemod)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

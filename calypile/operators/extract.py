@@ -2,48 +2,176 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calypile.operators.calls import first_per_id, pileup
-from calypile.operators.decode import decode
-from calypile.operators.regions import BROADCAST_ROWS, center, overlap_join, strand_or_plus
+from calypile.operators.decode import BATCH_SITES, bases_of, decode_read
+from calypile.operators.regions import BROADCAST_ROWS, overlap_join
+from calypile.session import spread
+
+#: What sites() can give, and its type where it is not a column of the reads or regions as they are.
+COLUMNS = ("sample", "read_idx", "read_name", "chr", "mod_idx", "mod", "pos", "prob", "called", "methylated", "bed_id", "region_idx", "begin_pos", "end_pos", "strand")
+_OWN = {"mod_idx": "int", "mod": "string", "pos": "bigint", "prob": "int", "called": "boolean", "methylated": "boolean"}
+_READ = {"sample": "sample", "read_idx": "read_idx", "read_name": "name", "chr": "chr"}
+_REGION = ("bed_id", "region_idx", "begin_pos", "end_pos", "strand")
+#: The bytes all maps of covered bins may take.
+COVER_BYTES = 8 << 20
+
+
+class Spans:
+    """Regions as arrays: begin and end, the window [lo, hi) in which sites count, and centre and sign for relative positions."""
+
+    def __init__(self, begin: np.ndarray, end: np.ndarray, minus: np.ndarray, window: int | None):
+        self.begin, self.end = begin, end
+        twice = begin + end
+        self.mid = (twice >> 1) + (twice & 1 & (twice >> 1))  # half to even
+        self.sign = np.where(minus, -1, 1)
+        self.lo, self.hi = (begin + 1, end) if window is None else (self.mid - window, self.mid + window + 1)
+
+    def pairs(self, pos: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in pos, region) of each site in the window of one of the regions own; pos ascends."""
+        first, last = np.searchsorted(pos, self.lo[own]), np.searchsorted(pos, self.hi[own])
+        n = last - first
+        return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum()), np.repeat(own, n)
+
+
+class Index:
+    """The regions of each chr in order of their begin, so that those a read overlaps are found by two binary searches."""
+
+    def __init__(self, table: pa.Table, window: int | None):
+        column = lambda c: table.column(c).to_numpy().astype(np.int64)
+        self.spans = Spans(column("begin_pos"), column("end_pos"), np.array([s == "-" for s in table.column("strand").to_pylist()], bool), window)
+        self.attributes = {c: table.column(c).combine_chunks() for c in _REGION}
+        by_chr: dict[str, list[int]] = {}
+        for i, c in enumerate(table.column("chr").to_pylist()):
+            by_chr.setdefault(c, []).append(i)
+        self.order = {c: np.array(rows)[np.argsort(self.spans.begin[rows], kind="stable")] for c, rows in by_chr.items()}
+        self.begins = {c: self.spans.begin[o] for c, o in self.order.items()}
+        self.reach = {c: np.maximum.accumulate(self.spans.end[o]) for c, o in self.order.items()}
+
+    def overlapping(self, chr_: str, start: int, end: int) -> np.ndarray:
+        """The numbers of the regions that [start, end) overlaps."""
+        order = self.order.get(chr_)
+        if order is None:
+            return np.empty(0, np.int64)
+        near = order[np.searchsorted(self.reach[chr_], start, "right") : np.searchsorted(self.begins[chr_], end)]
+        return near[self.spans.end[near] > start]
 
+    def cover(self) -> tuple[int, list[tuple[str, bytearray]]]:
+        """(bits, a byte for each 2**bits positions of each chr: 1 where there is a region)."""
+        far = {c: max(int(r[-1]), 1) for c, r in self.reach.items()}
+        bits = 14
+        while sum((e >> bits) + 1 for e in far.values()) > COVER_BYTES:
+            bits += 1
+        out = []
+        for c, o in self.order.items():
+            step = np.zeros((far[c] >> bits) + 2, np.int32)
+            np.add.at(step, np.maximum(self.spans.begin[o], 0) >> bits, 1)
+            np.add.at(step, (np.maximum(self.spans.end[o] - 1, 0) >> bits) + 1, -1)
+            out.append((c, bytearray((np.cumsum(step) > 0).astype(np.uint8))))
+        return bits, out
 
-def sites(reads: DataFrame, regions: DataFrame, basemod: str = "A+CG", centered: bool = False, window: int = 1000, thresh_a: int = 129, thresh_c: int = 129) -> DataFrame:
-    """One row per (read, region, candidate base) inside the region.
+
+def sites(reads: DataFrame, regions: DataFrame, basemod: str = "A+CG", centered: bool = False, window: int = 1000, thresh_a: int = 129, thresh_c: int = 129, columns: Sequence[str] = COLUMNS) -> DataFrame:
+    """One row per (read, region, candidate base) inside the region, with the given columns.
 
     Uncentred: begin_pos < pos < end_pos. Centred: pos is relative to the region's centre, oriented by strand, and |pos| <= window.
-    Reads are first matched with the regions they overlap; each is decoded once, whatever the number of its regions.
-    """
-    cols = ["bed_id", "region_idx", "begin_pos", "end_pos", "strand"]
-    mid = lambda r: center(r["begin_pos"], r["end_pos"])
-    lo = (lambda r: mid(r) - window) if centered else (lambda r: r["begin_pos"] + 1)
-    hi = (lambda r: mid(r) + window + 1) if centered else (lambda r: r["end_pos"])
-    per_read = with_regions(reads, regions.select("chr", *cols), cols).withColumn("spans", F.transform("regions", lambda r: F.struct(lo(r).alias("lo"), hi(r).alias("hi"))))
-    decoded = decode(per_read, ["sample", "read_idx", "name", "chr", "regions"], basemod, thresh_a, thresh_c, "spans")
-    near = decoded.withColumn("r", F.explode(F.filter("regions", lambda r: (F.col("pos") >= lo(r)) & (F.col("pos") < hi(r)))))
-    flat = near.select("sample", "read_idx", F.col("name").alias("read_name"), "chr", "mod_idx", "mod", "pos", "prob", "called", "methylated", "r.*")
-    if not centered:
-        return flat
-    rel = F.when(strand_or_plus(F.col("strand")) == "-", -1).otherwise(1) * (F.col("pos") - center(F.col("begin_pos"), F.col("end_pos")))
-    return flat.withColumn("pos", rel)
-
-
-def with_regions(reads: DataFrame, regions: DataFrame, cols: list[str]) -> DataFrame:
-    """Reads that overlap a region, with the array regions of those they overlap.
-
-    Few regions (their number is checked) are broadcast as one array per chr, and the reads with their sequences are not shuffled. More are
-    matched by bins over the reads' coordinates alone, and the arrays joined back to the reads.
+    Only reads that overlap a region give sites, and each is decoded once, whatever the number of its regions: its sites are
+    sorted, so each region takes a stretch of them. Regions with null or empty intervals give nothing.
+
+    Few regions (their number is checked) are fetched and broadcast as sorted arrays; a map of the covered bins keeps reads without regions in
+    the JVM, and nothing is shuffled. More are matched by bins over the reads' coordinates alone, and their arrays joined to the reads.
     """
-    entry = F.struct(*cols)
-    if regions.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        by_chr = regions.where("begin_pos < end_pos").groupBy("chr").agg(F.collect_list(entry).alias("_all"))
-        hit = lambda r: (F.col("start") < r["end_pos"]) & (F.col("end") > r["begin_pos"])
-        joined = reads.where("start < end").join(F.broadcast(by_chr), "chr")
-        return joined.withColumn("regions", F.filter("_all", hit)).drop("_all").where(F.size("regions") > 0)
-    pairs = overlap_join(reads.select("sample", "read_idx", "chr", "start", "end"), regions, binned=True)
-    return reads.join(pairs.groupBy("sample", "read_idx").agg(F.collect_list(entry).alias("regions")), ["sample", "read_idx"])
+    bases, thresholds = bases_of(basemod), {"A": thresh_a, "C": thresh_c}
+    span = window if centered else None
+    regions = regions.where("chr is not null and begin_pos < end_pos").select("chr", *_REGION)
+    reads = spread(reads).where("start < end")
+    few = regions.limit(BROADCAST_ROWS + 1).toArrow()
+    if few.num_rows <= BROADCAST_ROWS:
+        index = Index(few, span)
+        bits, cover = index.cover()
+        at = lambda x: F.shiftright(F.greatest(x, F.lit(0)), bits).cast("int")
+        mapped = reads.sparkSession.createDataFrame(cover, "chr string, _cover binary")
+        touched = F.contains(F.substr("_cover", at(F.col("start")) + 1, at(F.col("end") - 1) - at(F.col("start")) + 1), F.unhex(F.lit("01")))
+        reads, shared = reads.join(F.broadcast(mapped), "chr").where(touched), reads.sparkSession.sparkContext.broadcast(index)
+        listed = []
+    else:
+        pairs = overlap_join(reads.select("sample", "read_idx", "chr", "start", "end"), regions, few=False)
+        arrays = pairs.groupBy("sample", "read_idx").agg(F.collect_list(F.struct(*_REGION)).alias("_regions"))
+        reads, shared, listed = reads.join(arrays, ["sample", "read_idx"]), None, ["_regions"]
+
+    names = [_READ[c] for c in columns if c in _READ]
+    fields = {f.name: f.dataType.simpleString() for f in reads.schema} | {c: regions.schema[c].dataType.simpleString() for c in _REGION}
+    schema = ", ".join(f"`{c}` {_OWN.get(c) or fields[_READ.get(c, c)]}" for c in columns)
+    types = [{"int": pa.int32(), "string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_()}.get(_OWN.get(c)) for c in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            value = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
+            flag, start, end, chr_, cigar, seq, mm = (value[c].to_pylist() for c in ("flag", "start", "end", "chr", "cigar", "seq", "mm"))
+            if shared is not None:
+                found, attributes = shared.value, shared.value.attributes
+                spans = found.spans
+            else:
+                flat, offsets = value["_regions"].flatten(), np.cumsum([0, *value["_regions"].value_lengths().to_pylist()])
+                attributes = {c: flat.field(c) for c in _REGION}
+                spans = Spans(*(attributes[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("begin_pos", "end_pos")), np.array([s == "-" for s in attributes["strand"].to_pylist()], bool), span)
+            ml = value["ml"]
+            parts: list[tuple] = []
+            held = 0
+
+            def out() -> pa.RecordBatch:
+                sizes = [len(p[3]) for p in parts]
+                join = lambda j: np.concatenate([p[j] for p in parts])
+                read, region = pa.array(np.repeat([p[0] for p in parts], sizes)), pa.array(join(7))
+                mods = {"mod_idx": lambda: np.repeat([p[1] for p in parts], sizes), "mod": lambda: pa.array([p[2] for p in parts]).take(pa.array(np.repeat(np.arange(len(parts)), sizes)))}
+                own = {"pos": 3, "prob": 4, "called": 5, "methylated": 6}
+                cols = []
+                for c, t in zip(columns, types, strict=True):
+                    if c in _READ:
+                        cols.append(value[_READ[c]].take(read))
+                    elif c in _REGION:
+                        cols.append(attributes[c].take(region))
+                    else:
+                        x = mods[c]() if c in mods else join(own[c])
+                        cols.append(x if isinstance(x, pa.Array) else pa.array(x, t))
+                return pa.RecordBatch.from_arrays(cols, names=list(columns))
+
+            for i in range(batch.num_rows):
+                near = found.overlapping(chr_[i], start[i], end[i]) if shared is not None else np.arange(offsets[i], offsets[i + 1])
+                if not len(near):
+                    continue
+                values = ml[i].values
+                got, _ = decode_read(flag[i] or 0, start[i], cigar[i], seq[i], mm[i], None if values is None else values.to_numpy(zero_copy_only=False), bases, thresholds)
+                for mod_idx, mod, *site in got:
+                    if (flag[i] or 0) & 16:
+                        site = [x[::-1] for x in site]
+                    at, region = spans.pairs(site[0], near)
+                    if not len(at):
+                        continue
+                    pos, prob, called, methylated = (x[at] for x in site)
+                    if centered:
+                        pos = spans.sign[region] * (pos - spans.mid[region])
+                    parts.append((i, mod_idx, mod, pos, prob, called, methylated, region))
+                    held += len(at)
+                if held >= BATCH_SITES:
+                    yield out()
+                    parts, held = [], 0
+            if parts:
+                yield out()
+
+    needed = dict.fromkeys([*names, "flag", "chr", "start", "end", "cigar", "seq", "mm", "ml", *listed])
+    return reads.select(*needed).mapInArrow(run, schema)
+
+
+#: The columns from which site_pileup() and calls() are made.
+PILEUP = ("sample", "chr", "pos", "mod", "methylated")
+CALLS = ("sample", "read_idx", "read_name", "chr", "mod_idx", "mod", "pos", "prob", "methylated", "bed_id", "region_idx")
 
 
 def calls(found: DataFrame, all_bases: bool = False) -> DataFrame:

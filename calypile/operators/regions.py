@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from calypile.schemas import REGIONS
 
-#: Regions up to this many are broadcast (about 100 bytes each); more are joined by bins.
+#: Regions up to this many are broadcast (about 100 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 50_000
 BIN_BITS = 16
 _LITERAL = re.compile(r"([^:]+):(\d+)-(\d+)")
@@ -58,35 +58,35 @@ def one_region(spark: SparkSession, text: str, bed_id: str = "region") -> DataFr
     return spark.createDataFrame([(bed_id, 0, chr_, begin, end, "+")], REGIONS)
 
 
-def overlap_join(reads: DataFrame, regions: DataFrame, start: str = "start", end: str = "end", begin_pos: str = "begin_pos", end_pos: str = "end_pos", on: tuple[str, ...] = ("chr",), binned: bool | None = None) -> DataFrame:
+def overlap_join(reads: DataFrame, regions: DataFrame, start: str = "start", end: str | None = "end", begin_pos: str = "begin_pos", end_pos: str = "end_pos", on: tuple[str, ...] = ("chr",), few: bool | None = None) -> DataFrame:
     """Every pair of a read [start, end) and a region [begin_pos, end_pos) that overlap on the same chr; inner, many to many.
 
-    The columns on come once, the others must have different names. Rows with null or empty intervals join nothing. Few
-    regions (their number is checked) are broadcast, and the reads are not shuffled; else both sides meet in bins of 2**BIN_BITS
-    positions, a pair in the bin that holds the later of the two starts, so that it comes out once.
+    The columns on come once, the others must have different names. Rows with null or empty intervals join nothing. With end None
+    reads are single positions. Both sides meet in bins of 2**BIN_BITS positions, a pair in the bin that holds the later of the two
+    starts, so that it comes out once and a read is compared with the regions near it only. Few regions (BROADCAST_ROWS rows, a region once
+    for each of its bins) are broadcast, and the reads are not shuffled; few None has them counted, up to that limit.
     """
-    s, e, b, f = F.col(f"`{start}`"), F.col(f"`{end}`"), F.col(f"`{begin_pos}`"), F.col(f"`{end_pos}`")
-    reads, regions = reads.where(s < e), regions.where(b < f)
-    if binned is None:
-        binned = regions.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS
-    if not binned:
-        return reads.join(F.broadcast(regions), list(on)).where((s < f) & (e > b))
+    s, b, f = F.col(f"`{start}`"), F.col(f"`{begin_pos}`"), F.col(f"`{end_pos}`")
+    e = s + 1 if end is None else F.col(f"`{end}`")
     bins = lambda lo, hi: F.explode(F.sequence(F.shiftright(lo, BIN_BITS), F.shiftright(hi - 1, BIN_BITS)))
-    both = reads.withColumn("_bin", bins(s, e)).join(regions.withColumn("_bin", bins(b, f)), [*on, "_bin"])
+    cut = regions.where(b < f).withColumn("_bin", bins(b, f))
+    if few is None:
+        few = cut.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = reads.where(s.isNotNull()).withColumn("_bin", F.shiftright(s, BIN_BITS)) if end is None else reads.where(s < e).withColumn("_bin", bins(s, e))
+    both = rows.join(F.broadcast(cut) if few else cut, [*on, "_bin"])
     return both.where((s < f) & (e > b) & (F.col("_bin") == F.shiftright(F.greatest(s, b), BIN_BITS))).drop("_bin")
 
 
-def in_window(calls: DataFrame, regions: DataFrame, binned: bool | None = None) -> DataFrame:
+def in_window(calls: DataFrame, regions: DataFrame, few: bool | None = None) -> DataFrame:
     """Calls strictly inside a region: begin_pos < pos < end_pos, both excluded; a call in several regions comes once for each."""
-    reads = calls.withColumn("_to", F.col("pos") + 1)
-    return overlap_join(reads, regions, "pos", "_to", binned=binned).drop("_to").where(F.col("pos") > F.col("begin_pos"))
+    return overlap_join(calls, regions, "pos", None, few=few).where(F.col("pos") > F.col("begin_pos"))
 
 
-def around_center(calls: DataFrame, regions: DataFrame, window: int, binned: bool | None = None) -> DataFrame:
+def around_center(calls: DataFrame, regions: DataFrame, window: int, few: bool | None = None) -> DataFrame:
     """Calls at most window from a region's centre, with rel_pos: oriented by strand, both bounds included."""
     wide = regions.where("begin_pos < end_pos").withColumn("_c", center(F.col("begin_pos"), F.col("end_pos"))).withColumn("_b", F.col("_c") - window).withColumn("_f", F.col("_c") + window + 1)
-    joined = overlap_join(calls.withColumn("_to", F.col("pos") + 1), wide, "pos", "_to", "_b", "_f", binned=binned)
-    return joined.withColumn("rel_pos", F.when(strand_or_plus(F.col("strand")) == "-", -1).otherwise(1) * (F.col("pos") - F.col("_c"))).drop("_to", "_b", "_f", "_c")
+    joined = overlap_join(calls, wide, "pos", None, "_b", "_f", few=few)
+    return joined.withColumn("rel_pos", F.when(strand_or_plus(F.col("strand")) == "-", -1).otherwise(1) * (F.col("pos") - F.col("_c"))).drop("_b", "_f", "_c")
 
 
 def annotations(bed: DataFrame, chr_: str, begin: int, end: int) -> DataFrame:

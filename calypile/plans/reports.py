@@ -12,7 +12,7 @@ from calypile.operators import calls as C
 from calypile.operators import decode as D
 from calypile.operators import extract, qc
 from calypile.operators import regions as R
-from calypile.session import checkpoint_dir
+from calypile.session import checkpoint_dir, spread
 from calypile.sources.tables import read_samples
 from calypile.streaming import pileup as stream
 
@@ -131,7 +131,7 @@ def region_overlap_join(spark, d):
 
 
 def region_overlap_binned(spark, d):
-    return R.overlap_join(reads_of(spark, d).select("ingest_seq", "chr", "start", "end"), regions_of(spark, d).select("bed_id", "region_idx", "chr", "begin_pos", "end_pos"), binned=True).select("ingest_seq", "bed_id", "region_idx")
+    return R.overlap_join(reads_of(spark, d).select("ingest_seq", "chr", "start", "end"), regions_of(spark, d).select("bed_id", "region_idx", "chr", "begin_pos", "end_pos"), few=False).select("ingest_seq", "bed_id", "region_idx")
 
 
 def _beds(spark, d):
@@ -233,7 +233,7 @@ def mean_phred_array(spark, d):
 
 
 def seqs(spark, d):
-    return _table(spark, d, "documents").select("doc_id", F.regexp_replace(F.translate(F.col("text"), _LETTERS, _MAPPED), "[^ACGT]", "").alias("seq"))
+    return spread(_table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.regexp_replace(F.translate(F.col("text"), _LETTERS, _MAPPED), "[^ACGT]", "").alias("seq"))
 
 
 def made_reads(spark: SparkSession, d: str) -> DataFrame:
@@ -280,19 +280,19 @@ def revcomp(spark, d):
 
 
 def extract_pileup(spark, d):
-    return extract.site_pileup(extract.sites(made_reads(spark, d), made_regions(spark, d)))
+    return extract.site_pileup(extract.sites(made_reads(spark, d), made_regions(spark, d), columns=extract.PILEUP))
 
 
 def extract_centred(spark, d):
-    return extract.site_pileup(extract.sites(made_reads(spark, d), made_regions(spark, d), centered=True, window=200), centered=True)
+    return extract.site_pileup(extract.sites(made_reads(spark, d), made_regions(spark, d), centered=True, window=200, columns=extract.PILEUP), centered=True)
 
 
 def extract_calls(spark, d):
-    return extract.calls(extract.sites(made_reads(spark, d), made_regions(spark, d), "A"))
+    return extract.calls(extract.sites(made_reads(spark, d), made_regions(spark, d), "A", columns=extract.CALLS))
 
 
 def extract_all_bases(spark, d):
-    return extract.calls(extract.sites(made_reads(spark, d), made_regions(spark, d), "CG"), all_bases=True)
+    return extract.calls(extract.sites(made_reads(spark, d), made_regions(spark, d), "CG", columns=extract.CALLS), all_bases=True)
 
 
 def stored_samples(spark, d):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,7 @@ def get_spark(app: str = "calypile", cpus: int | None = None, **conf: str) -> Sp
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),  # long reads and texts: batches by size, not only by rows
     } | {k.replace("__", "."): v for k, v in conf.items()}
     builder = SparkSession.builder.appName(app)
     if not os.environ.get("SPARK_MASTER_SET"):
@@ -37,7 +40,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         named = sc.getConf().get("spark.checkpoint.dir", None)
         if named is None and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="calypile-checkpoint-"))
+        if named is None:
+            named = tempfile.mkdtemp(prefix="calypile-checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
@@ -45,3 +51,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the checkpoint folder, so that what follows does not depend on the executors that made it."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out to all cores if its scan has fewer partitions than there are cores; for what costs much more than a shuffle of its input.
+
+    A large table has more partitions than cores and is left as it is; so is the result of a shuffle, and a stream.
+    """
+    if df.isStreaming or "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -24,7 +24,7 @@ def streaming_pileup(calls: DataFrame, regions: DataFrame | None = None, thresho
     """
     if late:
         calls = calls.withWatermark("loaded_at", late)
-    rows = in_window(calls, regions, binned=False) if regions is not None else calls
+    rows = in_window(calls, regions) if regions is not None else calls
     hour = [F.window("loaded_at", "1 hour").alias("arrived")] if late else []
     hit = modified(F.col("prob"), threshold).cast("bigint")
     return rows.groupBy(*hour, *KEYS).agg(F.sum(hit).alias("methylated_bases"), F.count(F.lit(1)).alias("total_bases"))

@@ -64,8 +64,8 @@ def test_overlaps_windows_and_centres(spark):
     reads = spark.createDataFrame([(1, "c", 0, 10), (2, "c", 10, 20), (3, "d", 0, 10), (4, "c", None, 5), (5, "c", 9, 9), (6, None, 0, 9), (7, "c", 0, 1 << 20)], "i int, chr string, start bigint, end bigint")
     regions = spark.createDataFrame([("b", 0, "c", 5, 10, "+"), ("b", 1, "c", 4, 15, "-"), ("b", 2, "c", 8, 8, "x"), ("b", 3, "c", 1 << 18, (1 << 18) + 9, None)], "bed_id string, region_idx bigint, chr string, begin_pos bigint, end_pos bigint, strand string")
     want = [(1, 0), (1, 1), (2, 1), (7, 0), (7, 1), (7, 3)]
-    for binned in (None, False, True):
-        assert sorted((r["i"], r["region_idx"]) for r in R.overlap_join(reads, regions, binned=binned).collect()) == want
+    for few in (None, False, True):
+        assert sorted((r["i"], r["region_idx"]) for r in R.overlap_join(reads, regions, few=few).collect()) == want
     calls = spark.createDataFrame([("c", p) for p in (4, 5, 6, 9, 10, 14, 15)], "chr string, pos bigint")
     inside = sorted((r["region_idx"], r["pos"]) for r in R.in_window(calls, regions).collect())
     assert inside == [(0, 6), (0, 9), (1, 5), (1, 6), (1, 9), (1, 10), (1, 14)]

@@ -141,6 +141,25 @@ def test_spans_and_region_arrays(spark, monkeypatch):
             assert sorted(tuple(x) for x in got.select("read_idx", "region_idx", "mod", "pos", "prob").collect()) == sorted(want) and want
 
 
+def test_many_regions_of_one_chr(spark):
+    from calypile.operators import extract
+
+    rng = np.random.default_rng(8)
+    begins = np.sort(rng.integers(0, 4_000_000, 49_000))
+    table = [("b", i, "c", int(a), int(a) + int(n), "+-"[i % 2]) for i, (a, n) in enumerate(zip(begins, rng.integers(1, 300, len(begins))))] + [("b", -1, "c", 10, 3_999_990, "+"), ("b", -2, "c", 5, 5, "+"), ("b", -3, None, 5, 9, "+"), ("b", -4, "c", None, 9, None)]
+    regions = spark.createDataFrame(table, "bed_id string, region_idx bigint, chr string, begin_pos bigint, end_pos bigint, strand string")
+    rows = [("s", i, f"n{i}", 16 * (i % 2), int(a), int(a) + 60, "60M", "ACGT" * 15, "A+a,0,1;", [200, 100]) for i, a in enumerate(rng.integers(0, 4_100_000, 300))]
+    reads = spark.createDataFrame(rows, "sample string, read_idx bigint, name string, flag int, start bigint, `end` bigint, cigar string, seq string, mm string, ml array<int>").withColumn("chr", F.lit("c"))
+    plain = D.decode(reads, ["read_idx"], "A").collect()
+    lo, hi = (np.array([t[k] for t in table if t[2] and t[3] is not None and t[3] < t[4]]) for k in (3, 4))
+    want = sorted((r["read_idx"], r["pos"], int(((lo < r["pos"]) & (r["pos"] < hi)).sum())) for r in plain)
+    got = extract.sites(reads, regions, "A", columns=("read_idx", "pos", "region_idx")).groupBy("read_idx", "pos").count().collect()
+    assert sorted(map(tuple, got)) == [w for w in want if w[2]]
+    wide = extract.sites(reads, regions.where("region_idx = -1"), "A", columns=("read_idx",))
+    assert wide.count() == sum(10 < r["pos"] < 3_999_990 for r in plain)
+    assert extract.sites(reads, regions.limit(0)).count() == 0 and extract.sites(reads.limit(0), regions).count() == 0
+
+
 def test_lost_calls_are_counted(spark):
     got = {r["read_idx"]: (r["n_segments"], r["n_lost"]) for r in D.tag_quality(spark.createDataFrame(random_reads(2, 1), SCHEMA), "read_idx").collect()}
     assert got[6] == (1, 1) and got[2] == (0, 0) and got[5] == (1, 0)
