@@ -33,18 +33,17 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-def _per_chr(df: DataFrame, name: str, value: str) -> DataFrame:
-    weighted = skew.compress(df, ["chr"], [value])
-    keys = ["chr"]
-    join = lambda a, b: a.join(b.withColumnRenamed("chr", "_k"), F.col("chr").eqNullSafe(F.col("_k")), "left").drop("_k")
-    out = join(skew.key_counts(weighted, keys, value), skew.modes(weighted, keys, value))
-    out = join(out, skew.percentiles(weighted, keys, value, {"p25": 0.25, "p50": 0.5, "p75": 0.75}))
-    return out.select(F.lit(name).alias("table_name"), F.lit(value).alias("column_name"), "chr", "n_rows", "n_distinct", F.col("mode").cast("bigint").alias("mode"), "mode_rows", *[F.round(c, 6).alias(c) for c in ("p25", "p50", "p75")])
+def _per_chr(df: DataFrame, name: str, columns: list[str]) -> DataFrame:
+    keys = ["chr", "column_name"]
+    weighted = skew.compress_columns(df, ["chr"], columns, "bigint")
+    join = lambda a, b: a.alias("a").join(b.alias("b"), skew.same("a", "b", keys), "left").select("a.*", *[F.col(f"b.{c}") for c in b.columns if c not in keys])
+    out = join(skew.key_counts(weighted, keys, "value"), skew.modes(weighted, keys, "value"))
+    out = join(out, skew.percentiles(weighted, keys, "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}))
+    return out.select(F.lit(name).alias("table_name"), "column_name", "chr", "n_rows", "n_distinct", "mode", "mode_rows", *[F.round(c, 6).alias(c) for c in ("p25", "p50", "p75")])
 
 
 def p4_per_chr(spark: SparkSession, d: str) -> DataFrame:
-    reads = table(spark, d, READS)
-    return _per_chr(reads, READS, "mapq").unionByName(_per_chr(reads, READS, "length")).unionByName(_per_chr(table(spark, d, CALLS), CALLS, "prob"))
+    return _per_chr(table(spark, d, READS), READS, ["mapq", "length"]).unionByName(_per_chr(table(spark, d, CALLS), CALLS, ["prob"]))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -208,7 +208,7 @@ def qc_summary_table(spark, d):
 
 
 def qc_outlier_hist(spark, d):
-    return r6(qc.histogram(reads_of(spark, d), ["sample"], ("length", "mapq")).select("sample", "metric", "bin", "bin_start", "count"), "bin_start")
+    return r6(qc.histogram(reads_of(spark, d), ["sample"]), "bin_start", "width", "density")
 
 
 def qc_n50(spark, d):
@@ -391,9 +391,10 @@ w as (select bed_id, family, rel_pos, case when count(fr) over x >= 10 then avg(
 select bed_id, family, rel_pos, round(avg(v), 6) as rolling_fraction from w group by all""",
     "qc_quantiles": _LONG + " select sample, metric, n, round(mn, 6) as min, round(q1, 6) as q1, round(md, 6) as median, round(q3, 6) as q3, round(mx, 6) as max, round(mean, 6) as mean from s",
     "qc_summary_table": _LONG + "".join(f"{' union all' if i else ''} select sample, metric, '{label}' as statistic, cast(round_even({c}, 0) as bigint) as value from s" for i, (label, c) in enumerate((("Min", "mn"), ("25%", "q1"), ("Median", "md"), ("75%", "q3"), ("Max", "mx"), ("Mean", "mean")))),
-    "qc_outlier_hist": _LONG + """, k as (select f.* from f join s using (sample, metric) where metric in ('length', 'mapq') and v <= q3 + 3 * (q3 - q1)),
-e as (select sample, metric, min(v) lo, case when max(v) > min(v) then (max(v) - min(v)) / 200 else 1 end width from k group by all)
-select sample, metric, cast(least(floor((v - lo) / width), 199) as int) as bin, round(lo + cast(least(floor((v - lo) / width), 199) as int) * width, 6) as bin_start, count(*) as count from k join e using (sample, metric) group by sample, metric, bin, lo, width""",
+    "qc_outlier_hist": _LONG + """, k as (select f.* from f join s using (sample, metric) where v <= q3 + 3 * (q3 - q1)),
+e as (select sample, metric, min(v) lo, count(*) m, case when max(v) > min(v) then (max(v) - min(v)) / 200 else 1 end width from k group by all)
+select sample, metric, cast(least(floor((v - lo) / width), 199) as int) as bin, round(lo + cast(least(floor((v - lo) / width), 199) as int) * width, 6) as bin_start, round(width, 6) as width,
+       count(*) as count, round(count(*) / (m * width), 6) as density from k join e using (sample, metric) group by sample, metric, bin, lo, width, m""",
     "qc_n50": """with c as (select sample, "length" x, sum("length") over (partition by sample order by "length" desc range unbounded preceding) c, sum("length") over (partition by sample) t from reads_samplename where "length" is not null)
 select sample, max(x) as n50 from c where 2 * c > t group by sample""",
     "qc_totals": """select sample, count(*) as n_reads, cast(round_even(avg("length"), 0) as bigint) as mean_length, cast(round_even(avg("length"), 0) as bigint) * count(*) as n_bases, cast(sum("length") as bigint) as n_bases_exact from reads_samplename group by sample""",

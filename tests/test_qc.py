@@ -29,3 +29,13 @@ def test_empty(spark):
     df = spark.createDataFrame([], "sample string, length bigint, mapq int, ave_baseq double, ave_alignq double")
     for f in (qc.summary, qc.summary_table, qc.histogram, qc.n50, qc.totals):
         assert f(df, ["sample"]).count() == 0
+
+
+def test_a_null_sample_is_a_sample(spark):
+    rows = [(s, n, 1, float(n), 1.0) for s in ("a", None) for n in (10, 20, 30, 40)]
+    df = spark.createDataFrame(rows, "sample string, length bigint, mapq int, ave_baseq double, ave_alignq double")
+    for f in (qc.summary, qc.n50, qc.totals, qc.histogram, lambda d, k: qc.histogram(d, k, few=False)):
+        got = {}
+        for r in f(df, ["sample"]).collect():
+            got.setdefault(r["sample"], set()).add(tuple(r)[1:])
+        assert set(got) == {"a", None} and got["a"] == got[None]
