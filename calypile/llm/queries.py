@@ -89,6 +89,13 @@ def p7_kept(spark: SparkSession, d: str) -> DataFrame:
     return pieces.select("doc_id", kept.alias("kept"))
 
 
+def p7_unused(spark: SparkSession, d: str) -> DataFrame:
+    """The texts packed by their characters, 8,192 to a container: the pieces, the least number of containers, and whether there is at most 1 % more."""
+    packed = packing.pack(_table(spark, d, "documents").select("doc_id", F.length("text").alias("n")), "doc_id", "n", 8192)
+    least = F.ceil(F.sum("used") / 8192)
+    return packing.containers(packed, 8192).agg(F.sum("n_pieces").alias("n_pieces"), least.alias("least"), (F.count(F.lit(1)) <= F.ceil(least * 1.01) + 1).alias("tight"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(_table(spark, d, "documents"), "doc_id", "text")
 
@@ -97,7 +104,7 @@ def p8_scores(spark: SparkSession, d: str) -> DataFrame:
     return residue.decide(_table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_small_groups, p1_within_bound, p3_distinct, p3_within_bound, p6_ids, p6_round_trip, p7_packed, p7_kept, p8_found, p8_scores)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_small_groups, p1_within_bound, p3_distinct, p3_within_bound, p6_ids, p6_round_trip, p7_packed, p7_kept, p7_unused, p8_found, p8_scores)}
 
 _LONG = """
 with x as (
@@ -116,5 +123,6 @@ SQL = {
     "p1_within_bound": _LONG + "select sample, column_name, count(*) as n, true as within from f group by all",
     "p3_within_bound": "select run_day, mod, count(distinct read_name) as n_exact, true as within from methylationbybase where read_name is not null group by all",
     "p6_round_trip": "select doc_id, coalesce(strlen(text), 0) as n_bytes, true as same from documents",
+    "p7_unused": "select cast(sum(greatest(ceil(coalesce(length(text), 0) / 8192), 1)) as bigint) as n_pieces, cast(ceil(sum(length(text)) / 8192) as bigint) as least, true as tight from documents",
     "p7_kept": "select doc_id, true as kept from documents",
 }

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from calypile.session import spread
+
 FOLDER = "/opt/tokenizers"
 NAME = "byte_bpe_50k"
 #: The pattern by which the tokenizers of FOLDER split text before merging; a fixed value published with the rank files.
@@ -107,7 +109,7 @@ def encode_ids(df: DataFrame, key: str, text: str, folder: str = FOLDER, name: s
                     flat, offsets, first = array.array("i"), [0], row + 1
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return spread(df.select(F.col(f"`{key}`"), F.col(f"`{text}`"))).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
 def count_tokens(df: DataFrame, key: str, text: str, folder: str = FOLDER, name: str = NAME) -> DataFrame:
@@ -121,7 +123,7 @@ def count_tokens(df: DataFrame, key: str, text: str, folder: str = FOLDER, name:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=[key, "n_tokens"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint")
+    return spread(df.select(F.col(f"`{key}`"), F.col(f"`{text}`"))).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint")
 
 
 def decode_bytes(spark: SparkSession, encoded: DataFrame, key: str, ids: str = "ids", folder: str = FOLDER, name: str = NAME) -> DataFrame:
@@ -150,4 +152,4 @@ def round_trip(df: DataFrame, key: str, text: str, folder: str = FOLDER, name: s
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(same)], names=[key, "n_bytes", "same"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, f"`{key}` {kind}, n_bytes bigint, same boolean")
+    return spread(df.select(F.col(f"`{key}`"), F.col(f"`{text}`"))).mapInArrow(run, f"`{key}` {kind}, n_bytes bigint, same boolean")

@@ -66,6 +66,43 @@ def test_nothing_is_left_out_beyond_the_passed_bins(spark, monkeypatch):
     check(rows, K.pack(spark.createDataFrame(rows, "id bigint, n int").repartition(80), "id", "n", 2048).collect(), 2048)
 
 
+def test_a_node_gets_no_more_than_its_children_may_pass(spark):
+    """1,600,000 underfull bins of which none fits another: each partition passes on no more than PASSED, whatever it holds."""
+    n = 8 * 200_000
+    items = spark.range(n, numPartitions=8).selectExpr("id", "1200 n")
+    passed = []
+    whole = K.checkpointed
+    K.checkpointed = lambda df: passed.append(whole(df)) or passed[-1]
+    try:
+        packed = K.pack(items, "id", "n")
+    finally:
+        K.checkpointed = whole
+    assert passed[0].where("piece < 0").count() == 8 * K.PASSED <= K.FAN_IN * K.PASSED
+    assert packed.count() == n == packed.select("container_id").distinct().count()
+
+
+def test_passing_few_bins_costs_no_container(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, int(n)) for i, n in enumerate(np.minimum(rng.lognormal(6.3, 1, 6000), 5000))]
+    df = spark.createDataFrame(rows, "id bigint, n int").repartition(64)
+    used = []
+    for passed in (9, 256, 1_000_000):
+        monkeypatch.setattr(K, "PASSED", passed)
+        used.append(len(check(rows, K.pack(df, "id", "n").collect(), 2048)))
+    assert max(used) - min(used) <= 1
+
+
+def test_chunks_of_a_partition_share_their_bins(spark, monkeypatch):
+    monkeypatch.setattr(K, "CHUNK_ITEMS", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        rows = [(i, 100 + i % 7) for i in range(1000)]
+        bins = check(rows, K.pack(spark.createDataFrame(rows, "id bigint, n int").coalesce(1), "id", "n", 2048).collect(), 2048)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(bins) <= sum(n for _, n in rows) / 2048 * 1.06 + 1
+
+
 def test_empty_and_strings(spark):
     assert K.pack(spark.createDataFrame([], "id string, n int"), "id", "n").count() == 0
     got = K.pack(spark.createDataFrame([("a", 5), ("a", 5), (None, 3)], "id string, n int"), "id", "n", 10)
