@@ -20,11 +20,16 @@ def test_combined_days_keep_the_bound(spark):
     df = spark.createDataFrame([(int(i % 30), float(v)) for i, v in enumerate(x)], "day int, v double")
     parts = Q.partials(df, ["day"], ["v"]).withColumn("g", Q.F.lit(1))
     for merged in (Q.combine(parts, ["g"], ["v"]), Q.partials(df.withColumn("g", Q.F.lit(1)), ["g"], ["v"])):
-        got = Q.percentiles(merged, ["g"], ["v"], {f"q{i}": i / 20 for i in range(1, 20)}).first()
+        got = Q.percentiles(merged, ["g"], ["v"], {f"q{i}": i / 200 for i in range(1, 200)}).first()
         assert got["n"] == len(x) and 0.01 < got["rank_error"] < 0.02
-        for i in range(1, 20):
+        # the stated error holds for one percentile with probability 0.99: of 199 about two may miss, and none by half as much again
+        misses = 0
+        for i in range(1, 200):
             v = got[f"q{i}"]
-            assert np.mean(x < v) - 2 * got["rank_error"] <= i / 20 <= np.mean(x <= v) + 2 * got["rank_error"]
+            off = max(np.mean(x < v) - i / 200, i / 200 - np.mean(x <= v))
+            misses += off > got["rank_error"] + 1 / len(x)
+            assert off <= 1.5 * got["rank_error"]
+        assert misses <= 8
 
 
 def test_cube_has_every_subset(spark):
@@ -40,7 +45,7 @@ def test_estimates_are_within_their_error(spark, n):
     df = spark.range(n).selectExpr("concat('read', id) name", "id % 3 day", "'c' slot", "1 bits").union(spark.range(n // 2).selectExpr("concat('read', id) name", "7 day", "'d' slot", "1 bits"))
     part = X.matrices(df, ["day"], "name").withColumn("all", X.F.lit(1))
     got = X.estimates(X.combine(part, ["all"]), ["all"]).first()
-    assert abs(got["distinct_estimate"] - n) <= 4 * got["std_error"] + 1
+    assert got["lower"] - 0.5 <= n <= got["upper"] + 0.5  # hashing is fixed, so this never changes
     assert got["lower"] <= got["distinct_estimate"] <= got["upper"]
     once = X.estimates(X.matrices(df.withColumn("all", X.F.lit(1)), ["all"], "name"), ["all"]).first()
     assert once["distinct_estimate"] == pytest.approx(got["distinct_estimate"])  # the union is the sketch of the union
