@@ -22,6 +22,15 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("-p", "--cores", type=int, default=None, help="local cores (default: all); a cluster's are set by spark-submit")
         return c
 
+    def colors(c: argparse.ArgumentParser, families: bool = True, many: bool = True, dot: float | None = None) -> None:
+        if families:
+            c.add_argument("--colorA", dest="color_a", default=None, help="colour of adenine calls")
+            c.add_argument("--colorC", dest="color_c", default=None, help="colour of cytosine calls")
+        if many:
+            c.add_argument("--colors", nargs="+", default=None, help="colours in turn")
+        if dot is not None:
+            c.add_argument("-d", "--dotsize", dest="dot_size", type=float, default=dot)
+
     def thresholds(c: argparse.ArgumentParser) -> None:
         c.add_argument("-A", "--thresh-a", type=int, default=129)
         c.add_argument("-C", "--thresh-c", type=int, default=129)
@@ -43,11 +52,14 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("-b", "--bed-features", nargs="+", default=None)
     c.add_argument("-t", "--smooth", type=int, default=1000)
     c.add_argument("-n", "--min-periods", type=int, default=100)
+    c.add_argument("--static", action="store_true", help="one SVG image instead of a page")
+    colors(c, many=False, dot=4)
 
     c = command("plot-enrichment", True)
     c.add_argument("-b", "--bed-files", nargs="+", required=True)
     c.add_argument("-m", "--basemod", required=True, choices=["A", "CG"])
     thresholds(c)
+    colors(c, families=False)
 
     c = command("plot-enrichment-profile", True)
     c.add_argument("-b", "--bed-files", nargs="+", required=True)
@@ -56,9 +68,11 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("-w", "--window-size", type=int, default=1000)
     c.add_argument("-t", "--smooth", type=int, default=50)
     c.add_argument("-n", "--min-periods", type=int, default=10)
+    colors(c, dot=0.5)
 
     c = command("qc-report", True)
     c.add_argument("--primary-only", action="store_true")
+    colors(c, families=False)
     return p
 
 

@@ -64,6 +64,36 @@ def bins(piled: DataFrame, keys: list[str], width: int = 100) -> DataFrame:
     return sums.withColumn("fraction", F.coalesce(fraction(F.col("methylated_bases"), F.col("total_bases")), F.lit(0.0)))
 
 
+def windows(piled: DataFrame, contigs: DataFrame, keys: list[str], width: int = 100, chr_: str = "chr", length: str = "length_bp") -> DataFrame:
+    """bins() with every window of every contig for each keys (chr not among them), sums and fraction 0 where there are no rows.
+
+    The axis is made in two steps, so that no row holds all windows of a contig.
+    """
+    step = width << TILE_BITS
+    whole = contigs.where(F.col(length) > 0).select(F.col(chr_).alias("chr"), F.col(length).cast("bigint").alias("_to"))
+    every = whole.agg(F.collect_list(F.struct("chr", "_to"))).scalar()  # a genome's contigs, a few hundred to some hundred thousand
+    own = [*keys, "chr"]
+    grid = piled.select(*keys).distinct().select(*keys, F.explode(every).alias("_c")).select(*keys, "_c.*")
+    tiles = grid.select(*own, "_to", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_to") - 1, F.lit(step).cast("bigint"))).alias("_t"))
+    grid = tiles.select(*own, F.explode(F.sequence("_t", F.least(F.col("_t") + step, F.col("_to")) - 1, F.lit(width).cast("bigint"))).alias("bin_start"))
+    got = bins(piled, own, width).alias("b")
+    same = F.col("a.bin_start") == F.col("b.bin_start")
+    for k in own:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    zero = [F.coalesce(f"b.{c}", F.lit(0)).alias(c) for c in ("methylated_bases", "total_bases")]
+    return grid.alias("a").join(got, same, "left").select("a.*", *zero, F.coalesce("b.fraction", F.lit(0.0)).alias("fraction"))
+
+
+def at_heights(calls: DataFrame, laid: DataFrame, keys: list[str]) -> DataFrame:
+    """Calls with the layer of their read; those of reads without a layer drop out."""
+    return calls.join(laid.where("height is not null").select(*keys, "read_name", "height"), [*keys, "read_name"])
+
+
+def segments(laid: DataFrame, keys: list[str]) -> DataFrame:
+    """The line of each read that has a layer: (keys, read_name, x0, x1, height)."""
+    return laid.where("height is not null").select(*keys, "read_name", F.col("posmin").alias("x0"), F.col("posmax").alias("x1"), "height")
+
+
 def summary_bed(piled: DataFrame) -> DataFrame:
     """The rows of a summary BED: chr, start, end = start + 1, modified, total, and the mod's display name."""
     return piled.select("chr", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"), "methylated_bases", "total_bases", mod_label(F.col("mod")).alias("label"))

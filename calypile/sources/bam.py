@@ -3,21 +3,26 @@
 spark.dataSource.register(BamSource); spark.read.format("calypile_bam").option("sample", "s").load(path)
 
 A file is a chain of compressed blocks, so it is split at block borders into parts of about split_bytes; a part's first
-record is found by checking candidate offsets for a run of well-formed records. With the option region (chr:begin-end) only
-reads that overlap it are returned, checked on each record's first bytes before it is decoded, and, where an index (.bai) lies
-beside the file, only the parts from the first one it names for that range are planned; in a file sorted by coordinate, a
-part is left at the first record behind the region. (The region is an option and not a
-pushed filter, as Spark 4.1 keeps filters pushed by one query for later queries over the same DataFrame.)
+record is found by checking candidate offsets for a run of well-formed records. With the option region (chr:begin-end) or regions (a JSON list
+of [chr, begin, end]) only reads that overlap one of them are returned, checked on each record's first bytes before it is decoded.
+Where an index (.bai) lies beside the file, only the stretches it names for these regions are planned, with both their bounds, small ones
+together in a part and long ones split; in a file sorted by coordinate without an index, a part is left at the first record behind the
+regions. (Regions are an option and not a pushed filter, as Spark 4.1 keeps filters pushed by one query for later queries over
+the same DataFrame.)
 """
 
 from __future__ import annotations
 
+import bisect
 import glob
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -29,7 +34,17 @@ _PAIRS = [a + b for a in _BASES for b in _BASES]
 _CIGAR = "MIDNSHP=X"
 _SIZES = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
 _FORMATS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
-ROWS = 2000
+_SPANS = np.array([c in "MDN=X" for c in _CIGAR.ljust(16)])
+#: Rows and bytes of records after which a batch is sent to the JVM.
+ROWS, BYTES = 2000, 32 << 20
+
+
+def mounted(path: str) -> str:
+    """A path of the file system; file: is dropped, other schemes are an error, as blocks are read by offset from mounted files only."""
+    bare = path.removeprefix("file:")
+    if re.match(r"[a-z][a-z0-9+.-]+:", bare):
+        raise ValueError(f"{path}: BAM files are read from mounted folders only")
+    return bare
 
 
 class Blocks:
@@ -76,6 +91,11 @@ class Blocks:
         """File offset of the block that holds the next byte."""
         return max((f for o, f in self.starts if o <= self.pos), default=self.at) if self.pos < len(self.data) else self.at
 
+    def tell(self) -> int:
+        """Virtual offset of the next byte: its block's file offset << 16 | its place in the block."""
+        before, offset = max(((o, f) for o, f in self.starts if o <= self.pos), default=(0, self.at)) if self.pos < len(self.data) else (self.pos, self.at)
+        return offset << 16 | (self.pos - before)
+
     def close(self) -> None:
         self.file.close()
 
@@ -178,6 +198,15 @@ def tags(data: bytes) -> dict[str, object]:
     return out
 
 
+def placed(data: bytes) -> tuple[int, int, int]:
+    """(reference, start, end) of a record; the reference is -1 if it is unmapped."""
+    ref, pos, l_name, n_cigar, flag = *struct.unpack_from("<iiB", data, 0), *struct.unpack_from("<HH", data, 12)
+    if ref < 0 or flag & 4:
+        return -1, -1, -1
+    ops = np.frombuffer(data, "<u4", n_cigar, 32 + l_name)
+    return ref, pos, pos + int((ops >> 4)[_SPANS[ops & 15]].sum())
+
+
 def record(data: bytes, names: list[str]) -> tuple:
     """(name, flag, chr, start, end, mapq, cigar, seq, quals, mm, ml) of a record without its length field."""
     ref, pos, l_name, mapq, _bin, n_cigar, flag, l_seq = struct.unpack_from("<iiBBHHHi", data, 0)
@@ -200,39 +229,93 @@ def record(data: bytes, names: list[str]) -> tuple:
     return name, flag, names[ref] if mapped else None, pos if mapped else None, end, mapq, cigar, seq, quals, own.get("mm"), own.get("ml")
 
 
-def index_offset(path: str, ref: int, begin: int) -> int | None:
-    """From a .bai beside the file: no record that overlaps positions from begin on starts before this file offset; None without."""
-    for bai in (path + ".bai", path.removesuffix(".bam") + ".bai"):
-        if os.path.exists(bai):
-            with open(bai, "rb") as f:
-                data = f.read()
-            n_ref, at = struct.unpack_from("<i", data, 4)[0], 8
-            for r in range(n_ref):
-                n_bin, at = struct.unpack_from("<i", data, at)[0], at + 4
-                for _ in range(n_bin):
-                    n_chunk = struct.unpack_from("<I", data, at + 4)[0]
-                    at += 8 + 16 * n_chunk
-                n_intv, at = struct.unpack_from("<i", data, at)[0], at + 4
-                if r == ref:
-                    k = min(max(begin, 0) >> 14, n_intv - 1)
-                    known = [struct.unpack_from("<Q", data, at + 8 * i)[0] >> 16 for i in range(max(k, 0), n_intv)]
-                    return next((x for x in known if x), None)
-                at += 8 * n_intv
-    return None
+class Regions:
+    """Regions of each chr, merged into sorted spans that do not touch."""
+
+    def __init__(self, regions: list[tuple[str, int, int]]):
+        self.spans: dict[str, tuple[list[int], list[int]]] = {}
+        for c, a, b in sorted(r for r in regions if r[1] < r[2]):
+            starts, ends = self.spans.setdefault(c, ([], []))
+            if ends and a <= ends[-1]:
+                ends[-1] = max(ends[-1], b)
+            else:
+                starts.append(a)
+                ends.append(b)
+
+    def first(self, chr_: str | None, begin: int, end: int) -> int | None:
+        """The begin of the first span that overlaps [begin, end)."""
+        starts, ends = self.spans.get(chr_, ((), ()))
+        i = bisect.bisect_right(ends, begin)
+        return starts[i] if i < len(starts) and starts[i] < end else None
+
+
+def bin_span(number: int) -> tuple[int, int]:
+    """The positions [begin, end) of an index bin."""
+    level = next(k for k in range(5, -1, -1) if number >= ((1 << 3 * k) - 1) // 7)
+    shift = 29 - 3 * level
+    at = (number - ((1 << 3 * level) - 1) // 7) << shift
+    return at, at + (1 << shift)
+
+
+def indexed(path: str, names: list[str], regions: Regions) -> list[tuple[int, int | None]] | None:
+    """From a .bai beside the file, the stretches of virtual offsets [begin, end) that may hold records of the regions, merged; an end
+    None is the file's. None without an index."""
+    bai = next((x for x in (path + ".bai", path.removesuffix(".bam") + ".bai") if os.path.exists(x)), None)
+    if bai is None:
+        return None
+    with open(bai, "rb") as f:
+        data = f.read()
+    out: list[tuple[int, int | None]] = []
+    at = 8
+    for r in range(struct.unpack_from("<i", data, 4)[0]):
+        n_bin, at = struct.unpack_from("<i", data, at)[0], at + 4
+        own = regions.spans.get(names[r]) if r < len(names) else None
+        hit: list[tuple[int, int, int]] = []  # (first position asked for, chunk begin, chunk end)
+        for _ in range(n_bin):
+            number, n_chunk = struct.unpack_from("<II", data, at)
+            if own and number < 37449:
+                begin, end = bin_span(number)
+                first = regions.first(names[r], begin, end)
+                if first is not None:
+                    offsets = struct.unpack_from(f"<{2 * n_chunk}Q", data, at + 8)
+                    hit += [(max(first, 0), a, b) for a, b in zip(offsets[::2], offsets[1::2], strict=True)]
+            at += 8 + 16 * n_chunk
+        n_intv, at = struct.unpack_from("<i", data, at)[0], at + 4
+        if own:
+            least = lambda pos: next((x for x in struct.unpack_from(f"<{max(n_intv - (pos >> 14), 0)}Q", data, at + 8 * min(pos >> 14, n_intv)) if x), 0)  # noqa: B023, E731
+            known: dict[int, int] = {}
+            for first, a, b in hit:
+                low = known.setdefault(first >> 14, -1)
+                if low < 0:
+                    low = known[first >> 14] = least(first)
+                if b > low:
+                    out.append((max(a, low) if a < low else a, b))
+            if not n_bin and n_intv:
+                out.append((least(max(own[0][0], 0)), None))
+        at += 8 * n_intv
+    merged: list[tuple[int, int | None]] = []
+    for a, b in sorted(out, key=lambda x: x[0]):
+        if merged and (merged[-1][1] is None or a <= merged[-1][1]):
+            merged[-1] = (merged[-1][0], None if b is None or merged[-1][1] is None else max(b, merged[-1][1]))
+        else:
+            merged.append((a, b))
+    return merged
 
 
 class Part(InputPartition):
-    def __init__(self, path: str, start: int, within: int | None, stop: int, number: int):
-        self.path, self.start, self.within, self.stop, self.number = path, start, within, stop, number
+    """Stretches of a file: (block of the first byte, its place in it or None for the first record found, virtual offset of the end)."""
+
+    def __init__(self, path: str, pieces: list[tuple[int, int | None, int]], number: int):
+        self.path, self.pieces, self.number = path, pieces, number
 
 
 class BamReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.path = options["path"]
+        self.path = mounted(options["path"])
         self.sample = options.get("sample", "sample")
         self.split = int(options.get("split_bytes", 64 << 20))
-        region = options.get("region")
-        self.chr, self.above, self.below = parse_region(region) if region else (None, 0, 0)
+        asked = [parse_region(options["region"])] if options.get("region") else [tuple(x) for x in json.loads(options["regions"])] if options.get("regions") else None
+        self.regions = None if asked is None else Regions(asked)
 
     def partitions(self) -> list[Part]:
         files = sorted(glob.glob(os.path.join(self.path, "*.bam"))) if os.path.isdir(self.path) else sorted(glob.glob(self.path))
@@ -242,67 +325,69 @@ class BamReader(DataSourceReader):
         for path in files:
             names, first, within, _ = header(path)
             size = os.path.getsize(path)
-            if self.chr is not None and self.chr in names:
-                known = index_offset(path, names.index(self.chr), self.above)
-                if known is not None and known > first:
-                    first, within = known, None
-            cuts = [first]
-            while cuts[-1] + self.split < size:
-                at = next_block(path, cuts[-1] + self.split)
-                if at is None:
-                    break
-                cuts.append(at)
-            for i, at in enumerate(cuts):
-                out.append(Part(path, at, within if i == 0 else None, cuts[i + 1] if i + 1 < len(cuts) else size, len(out)))
+            stretches = indexed(path, names, self.regions) if self.regions else None
+            if stretches is None:
+                stretches = [(first << 16 | within, None)]
+            held: list[tuple[int, int | None, int]] = []
+            room = self.split
+            for begin, end in stretches:
+                at, inside, stop = begin >> 16, begin & 0xFFFF, size << 16 if end is None else end
+                while True:
+                    cut = next_block(path, at + room) if at + room < stop >> 16 else None
+                    if cut is None or cut >= stop >> 16:
+                        held.append((at, inside, stop))
+                        room -= max((stop >> 16) - at, 0)
+                        break
+                    out.append(Part(path, [*held, (at, inside, cut << 16)], len(out)))
+                    held, at, inside, room = [], cut, None, self.split
+                if room <= 0:
+                    out.append(Part(path, held, len(out)))
+                    held, room = [], self.split
+            if held:
+                out.append(Part(path, held, len(out)))
         return out
 
-    def wanted(self, data: bytes, names: list[str]) -> bool:
-        """From a record's first bytes: mapped to the region's chr, and starting before its end."""
-        ref, pos = struct.unpack_from("<ii", data, 0)
-        return ref >= 0 and names[ref] == self.chr and pos < self.below and not struct.unpack_from("<H", data, 14)[0] & 4
-
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
-        """Records whose first byte lies in the part's blocks; the last one may run into the next part."""
+        """Records whose first byte lies in the part's stretches; the last of one may run beyond it."""
         names, _, _, ordered = header(partition.path)
-        target = names.index(self.chr) if self.chr in names else len(names)
-        b = Blocks(partition.path, partition.start)
+        last = max((i for i, n in enumerate(names) if n in self.regions.spans), default=-1) if self.regions else len(names)
         types = pa.schema([("sample", pa.string()), ("read_idx", pa.int64()), ("name", pa.string()), ("flag", pa.int32()), ("chr", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("mapq", pa.int32()), ("cigar", pa.string()), ("seq", pa.string()), ("quals", pa.list_(pa.int32())), ("mm", pa.string()), ("ml", pa.list_(pa.int32()))])
         rows: list[tuple] = []
+        n = held = 0
 
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), types, strict=True)], schema=types)
 
-        try:
-            if partition.within is not None:
-                b.need(partition.within)
-                b.pos = partition.within
-            elif not synchronise(b, len(names)):
-                return
-            n = 0
-            while True:
-                if not b.need(1) or b.block() >= partition.stop:
-                    break
-                size = b.take(4)
-                data = size and b.take(struct.unpack("<i", size)[0])
-                if not data:
-                    break
-                n += 1
-                if self.chr is not None and not self.wanted(data, names):
-                    ref, pos = struct.unpack_from("<ii", data, 0)
-                    if ordered and (ref < 0 or ref > target or (ref == target and pos >= self.below)):
-                        break  # in a sorted file nothing after this can overlap
-                    continue
-                r = record(data, names)
-                if self.chr is not None and r[4] <= self.above:
+        for start, within, stop in partition.pieces:
+            b = Blocks(partition.path, start)
+            try:
+                if within is not None:
+                    b.need(within)
+                    b.pos = within
+                elif not synchronise(b, len(names)):
                     continue
-                rows.append((self.sample, (partition.number << 33) + n, *r))
-                if len(rows) >= ROWS:
-                    yield batch()
-                    rows.clear()
-            if rows:
-                yield batch()
-        finally:
-            b.close()
+                while b.need(1) and b.tell() < stop:
+                    size = b.take(4)
+                    data = size and b.take(struct.unpack("<i", size)[0])
+                    if not data:
+                        break
+                    n += 1
+                    if self.regions is not None:
+                        ref, pos, end = placed(data)
+                        if ref < 0 or self.regions.first(names[ref], pos, end) is None:
+                            if ordered and (ref < 0 or ref > last or (ref == last and pos >= self.regions.spans[names[last]][1][-1])):
+                                break  # in a sorted file nothing after this can overlap
+                            continue
+                    rows.append((self.sample, (partition.number << 33) + n, *record(data, names)))
+                    held += len(data)
+                    if len(rows) >= ROWS or held >= BYTES:
+                        yield batch()
+                        rows.clear()
+                        held = 0
+            finally:
+                b.close()
+        if rows:
+            yield batch()
 
 
 class BamSource(DataSource):
@@ -317,8 +402,10 @@ class BamSource(DataSource):
         return BamReader(self.options)
 
 
-def read_bam(spark, path: str, sample: str, split_bytes: int = 64 << 20, region: str | None = None):
-    """The reads of one BAM file or of all in a folder; with region only those that overlap it."""
+def read_bam(spark, path: str, sample: str, split_bytes: int = 64 << 20, region: str | None = None, regions: list[tuple[str, int, int]] | None = None):
+    """The reads of one BAM file or of all in a folder; with region, or regions (chr, begin, end), only those that overlap one."""
     spark.dataSource.register(BamSource)
     reader = spark.read.format("calypile_bam").option("sample", sample).option("split_bytes", str(split_bytes))
+    if regions is not None:
+        reader = reader.option("regions", json.dumps([list(r) for r in regions]))
     return (reader.option("region", region) if region else reader).load(path)

@@ -6,13 +6,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from calypile.plans import problems, reports
+from calypile.plans import files, problems, reports
 from tools.compare import rows
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
-SQL = problems.SQL | reports.SQL
-QUERIES = problems.QUERIES | reports.QUERIES
+SQL = problems.SQL | reports.SQL | files.SQL
+QUERIES = problems.QUERIES | reports.QUERIES | files.QUERIES
 
 
 @pytest.fixture(scope="module")

@@ -1,4 +1,6 @@
+import json
 import random
+import re
 import struct
 import zlib
 
@@ -137,6 +139,88 @@ def test_an_index_into_the_last_long_reads(tmp_path):
         assert names_by_part(tmp_path / "i.bam", 64 << 20, f"chr1:{begin}-{begin + 500}") == [[f"long{i}" for i in range(8 - k, 8) if spans[i][0] < begin + 500]]
 
 
+def reg2bin(begin, end):
+    for shift, first in ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1)):
+        if begin >> shift == (end - 1) >> shift:
+            return first + (begin >> shift)
+    return 0
+
+
+def write_index(path, lines):
+    """A .bai of a sorted file: bins with chunks, and the linear index."""
+    raw, blocks, at, before = path.read_bytes(), [], 0, 0
+    while at < len(raw):
+        blocks.append((before, at))
+        at += struct.unpack_from("<H", raw, at + 16)[0] + 1
+        before += struct.unpack_from("<I", raw, at - 4)[0]
+    place = before - sum(len(encode(x)) for x in lines)
+    virtual = lambda p: (lambda b: b[1] << 16 | p - b[0])(max(b for b in blocks if b[0] <= p))
+    bins, linear = {}, {}
+    for x in lines:
+        begin = int(x.split("\t")[3]) - 1
+        end = begin + sum(int(n) for n, o in re.findall(r"(\d+)([MDN=X])", x.split("\t")[5]))
+        bins.setdefault(reg2bin(begin, end), []).append((virtual(place), virtual(place + len(encode(x)))))
+        for k in range(begin >> 14, ((end - 1) >> 14) + 1):
+            linear.setdefault(k, virtual(place))
+        place += len(encode(x))
+    n = max(linear) + 1
+    body = struct.pack("<i", len(bins)) + b"".join(struct.pack("<II", b, len(c)) + b"".join(struct.pack("<QQ", *v) for v in c) for b, c in sorted(bins.items()))
+    body += struct.pack("<i", n) + b"".join(struct.pack("<Q", linear.get(k, 0)) for k in range(n))
+    path.with_suffix(".bam.bai").write_bytes(b"BAI\1" + struct.pack("<i", 2) + body + struct.pack("<ii", 0, 0))
+
+
+def test_many_regions_by_the_index(spark, tmp_path, monkeypatch):
+    rng = random.Random(4)
+    begins = sorted(rng.randrange(0, 4_000_000) for _ in range(900))
+    lines = ["\t".join([f"q{i}", "0", "chr1", str(b + 1), "60", f"{rng.choice([60, 600, 30_000])}N2M", "*", "0", "0", "AC", "II"]) for i, b in enumerate(begins)]
+    path = tmp_path / "m.bam"
+    write_bam(path, lines, 900, b"\tSO:coordinate")
+    spans = [(b, b + sum(int(n) for n, o in re.findall(r"(\d+)([MN])", x.split("\t")[5]))) for b, x in zip(begins, lines)]
+    read = []
+    more = bam.Blocks.more
+    monkeypatch.setattr(bam.Blocks, "more", lambda self: (read.append(self.at), more(self))[1])
+
+    def names(regions, split=64 << 20):
+        reader = bam.BamReader({"path": str(path), "split_bytes": str(split), "regions": json.dumps(regions)})
+        read.clear()
+        return [x for p in reader.partitions() for b in reader.read(p) for x in b.column("name").to_pylist()], len(reader.partitions())
+
+    sets = [[("chr1", 50_000, 50_500)], [("chr1", a, a + 300) for a in range(0, 4_000_000, 400_000)] + [("chr2", 1, 9), ("none", 1, 9)], [("chr1", 0, 4_900_000)], [("chr1", 4_000_000, 4_900_000)], [("chr1", 7, 7)], []]
+    want = [[f"q{i}" for i, (a, b) in enumerate(spans) if any(c == "chr1" and a < e and b > s for c, s, e in rs if s < e)] for rs in sets]
+    whole = [names(rs)[0] for rs in sets]
+    assert whole == want  # without an index: every record is looked at
+    names(sets[2])
+    n_blocks = len(set(read))
+    write_index(path, lines)
+    for rs, w in zip(sets, want):
+        for split in (64 << 20, 3000):
+            got, parts = names(rs, split)
+            assert got == w
+            if split > 3000:
+                assert parts <= 1
+        if rs in sets[:2]:
+            names(rs)
+            assert len(set(read)) < n_blocks * (0.25 if len(rs) == 1 else 0.75)
+    rows = bam.read_bam(spark, str(path), "s", regions=sets[1])
+    assert sorted(r["name"] for r in rows.select("name").collect()) == sorted(want[1])
+
+
+def test_written_bam_reads_back(spark, tmp_path):
+    from calypile.sources import bam_write
+
+    n = 40_000
+    rows = [("a", 0, "chr1", 100, 60, "4M", "ACGT", [1, 2, 3, 4], "C+m,0;", [200]), ("b", 4, None, None, None, None, "ACGTN", None, None, None), ("c", 16, "chr2", 5, 0, "2M1I" * n, "ACG" * n, None, "A+a;", []), ("d", 4, None, None, 0, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "name string, flag int, chr string, start bigint, mapq int, cigar string, seq string, quals array<int>, mm string, ml array<int>").repartition(2)
+    bam_write.write_bams(df, str(tmp_path / "w"), REFS)
+    bam_write.write_bams(df, str(tmp_path / "w"), REFS)  # a repeated task replaces its file
+    got = {r["name"]: r for r in bam.read_bam(spark, str(tmp_path / "w"), "s").collect()}
+    for r in rows:
+        assert [got[r[0]][c] for c in ("flag", "chr", "start", "cigar", "seq", "quals", "mm", "ml")] == [r[1], r[2], r[3], r[5], r[6], r[7], r[8], r[9]]
+    assert got["c"]["end"] == 5 + 2 * n and got["b"]["mapq"] == 0
+    with pytest.raises(ValueError):
+        bam.BamReader({"path": "s3a://bucket/x.bam"})
+
+
 def test_records_that_end_with_their_block(tmp_path):
     short = ["\t".join([f"s{i}", "0", "chr1", "101", "60", "4M", "*", "0", "0", "ACGA", "ABCD"]) for i in range(12)]
     end = bgzf(b"", 1)
@@ -199,7 +283,14 @@ def test_reports(spark, files, tmp_path):
     assert len(region["manifest"]["beds"]) == 2 and region["calls"].where("prob = 0").count() > 0
     view = api.plot_browser(spark, one, "s1", "chr1:98-118", out_dir=out, smooth=5, min_periods=1, bed_features=str(files / "w.bed"))
     assert view["reads"].count() == 2 and view["annotation_0"].count() == 1
-    assert "<svg" in open(view["manifest"]["page"]).read()
+    page = open(view["manifest"]["page"]).read()
+    assert "<svg" in page and "<line " in page and "<polyline" in page
+    drawn = api.plot_browser(spark, one, "s1", "chr1:98-118", out_dir=out, smooth=5, min_periods=1, color_a="#123456", dot_size=6, static=True)["manifest"]["page"]
+    assert drawn.endswith(".svg") and "#123456" in open(drawn).read() and 'r="3"' in open(drawn).read()
+    bars = api.plot_enrichment(spark, one, "s1", [str(files / "w.bed"), str(files / "v.bed")], "CG", out)["manifest"]["page"]
+    assert open(bars).read().count("<rect") == 2
+    profile = open(api.plot_enrichment_profile(spark, one, "s1", str(files / "w.bed"), out_dir=out, smooth=3, min_periods=1, window_size=50)["manifest"]["page"]).read()
+    assert profile.count("<polyline") >= 3 and "<circle" in profile
     bars = api.plot_enrichment(spark, one, "s1", [str(files / "w.bed"), str(files / "v.bed")], "CG")["enrichment"].collect()
     assert len(bars) == 2 and all(0 <= r["fraction_methylated"] <= 1 for r in bars)
     single = api.plot_enrichment_profile(spark, one, "s1", str(files / "w.bed"), smooth=3, min_periods=1, window_size=50)
@@ -214,6 +305,8 @@ def test_pages_show_all_rows(spark, tmp_path):
     none = rows.where("x < 0")
     page = open(figures.write_page(str(tmp_path / "p.html"), "t", {"p": (rows, "x", "y", "family"), "q": (none, "x", "y", "family")}, {"n": rows.where("x < 6000")})).read()
     assert page.count('class="A"') == 881 and page.count('<circle cx="890" cy="10" r="1.5" class="C"/>') == 1
+    static = open(figures.write_page(str(tmp_path / "s.html"), "t", {"b": ("bars", rows.where("x < 3"), "family", "x", "family"), "l": ("line", rows, "x", "y", "family"), "s": ("spans", rows, "x", "x", "y"), "none": ("line", none, "x", "y", "family")}, {}, ["#010203"], static=True)).read()
+    assert static.startswith("<svg") and static.count("<rect") == 3 and static.count("<polyline") == 2 and static.count("<line ") == 2 and "#010203" in static and "no data" in static
     assert "20000 points, 0 to 19999, 0 to 1" in page and "no data" in page
     assert page.count("<tr>") == 6001
 
