@@ -1,26 +1,33 @@
 """Column-level data quality profile of a table that arrives in loads.
 
-Exact base aggregates (rows, nulls, distinct values, range, values outside the domain) come from one value-frequency
-compression per load and column. Changes between a load and the one before it are found by a classifier two-sample test: a
-logistic regression is trained, per pair of loads, to tell their rows apart; its cross-fitted discrimination (area under
-the ROC curve of rows it was not trained on), with and without each column, shows whether and where the distribution
-changed. What it points out is settled by the exact largest difference of the two cumulative distributions.
+One scan counts the rows of each load by value, column by column, and, for tables of several columns, by the cells of all columns together;
+each count is kept for two folds. The counts are stored, and everything follows from them. Exact base aggregates (rows, nulls, distinct values,
+range, values outside the domain) are sums over them.
+
+Changes between a load and the one before it are found by a classifier two-sample test: logistic regressions over indicator columns tell the
+rows of the two loads apart; their cross-fitted discrimination (area under the ROC curve of the fold they were not trained on) is compared with
+that of models from which columns are ablated: all but one (auc_alone) and only one (auc_without). A column is suspect if it alone reaches the
+least area that a change of the asked size gives, or if the full model loses by its ablation. What is suspect is settled by the exact
+largest difference of the two cumulative distributions.
+
+The regressions are trained for all pairs of loads at once by DataFrame operations: gradient and curvature are sums over the counted cells, grouped by
+pair, fold and indicator, combined before they are shuffled, so neither a pair nor a load is collected into one task or the driver. A model of
+one column has its maximum in closed form, the logarithm of the ratio of the counts; one of several takes Newton steps on one column after another.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from calypile.session import stored
+
 #: Equal-width cells of a column's domain, in which rows are counted for the classifier.
 CELLS = 256
-#: Equal-mass bins into which a pair's cells are merged; one indicator feature each.
-BINS = 32
-#: Two distributions whose cumulative shares differ by d somewhere are told apart by the best classifier with an area of at
-#: least 0.5 + d / 2 - 2/BINS: 0.65 for d = 0.30, less what binning, training and chance lose.
-AREA = 0.58
+#: Bins of about equal mass into which a pair's cells are merged, one indicator each: of a model of one column, and of one of several.
+BINS, JOINT_BINS = 32, 8
+#: Newton steps on each column of a model of several, and the ridge penalty of its coefficients.
+ROUNDS, RIDGE = 2, 1.0
 Domains = dict[str, tuple[float, float]]
 
 
@@ -31,13 +38,37 @@ def value_weights(df: DataFrame, load: str, domains: Domains) -> DataFrame:
         F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("double").alias("value"), F.lit(float(a)).alias("lo"), F.lit(float(b)).alias("hi")) for c, (a, b) in domains.items()])).alias("x"),
     ).select("load_id", "x.*")
     weighted = long.groupBy("load_id", "column_name", "lo", "hi", "value").agg(F.count(F.lit(1)).alias("weight"))
-    inside = F.coalesce(F.col("value").between(F.col("lo"), F.col("hi")), F.lit(False))
-    return weighted.select("load_id", "column_name", "value", inside.alias("inside"), F.when(inside, _cell("value", "lo", "hi")).alias("cell"), "weight")
+    return weighted.select("load_id", "column_name", "value", *_inside(F.col("value"), F.col("lo"), F.col("hi")), "weight")
+
+
+def _cell(value: Column, lo: Column, hi: Column) -> Column:
+    """The cell of a value inside its domain, else null."""
+    return F.when(value.between(lo, hi), F.least(F.floor((value - lo) / (hi - lo) * CELLS), F.lit(CELLS - 1))).cast("int")
+
+
+def _inside(value: Column, lo: Column, hi: Column) -> list[Column]:
+    return [F.coalesce(value.between(lo, hi), F.lit(False)).alias("inside"), _cell(value, lo, hi).alias("cell")]
+
 
+def counted(df: DataFrame, load: str, row_id: str, domains: Domains) -> DataFrame:
+    """(load_id, kind, value, cells, w0, w1), stored: the rows of each load by value, for the kind-th column, and by the cells of all columns
+    together (kind -1, of several columns only); w0 and w1 count the rows of two folds, told apart by a hash of row_id."""
+    columns = [F.col(f"`{c}`").cast("double") for c in domains]
+    none = F.lit(None).cast("array<int>")
+    entries = [F.struct(F.lit(i).alias("kind"), c.alias("value"), none.alias("cells")) for i, c in enumerate(columns)]
+    if len(columns) > 1:
+        cells = F.array(*[F.coalesce(_cell(c, F.lit(float(a)), F.lit(float(b))), F.lit(-1)) for c, (a, b) in zip(columns, domains.values(), strict=True)])
+        entries.append(F.struct(F.lit(-1).alias("kind"), F.lit(None).cast("double").alias("value"), cells.alias("cells")))
+    fold = F.pmod(F.xxhash64(F.col(f"`{row_id}`").cast("string")), F.lit(2))
+    long = df.select(F.col(f"`{load}`").alias("load_id"), fold.alias("fold"), F.explode(F.array(*entries)).alias("x")).select("load_id", "fold", "x.*")
+    return stored(long.groupBy("load_id", "kind", "value", "cells").agg(F.count_if(F.col("fold") == 0).alias("w0"), F.count_if(F.col("fold") == 1).alias("w1")), ["kind"])
 
-def _cell(value, lo, hi):
-    col = lambda x: F.col(x) if isinstance(x, str) else F.lit(float(x))
-    return F.least(F.floor((col(value) - col(lo)) / (col(hi) - col(lo)) * CELLS), F.lit(CELLS - 1)).cast("int")
+
+def weighted_of(counts: DataFrame, domains: Domains) -> DataFrame:
+    """value_weights() of what is counted, with the two folds' counts."""
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("kind") + 1)
+    lo, hi = pick([float(a) for a, _ in domains.values()]), pick([float(b) for _, b in domains.values()])
+    return counts.where("kind >= 0").select("load_id", pick(list(domains)).alias("column_name"), "value", *_inside(F.col("value"), lo, hi), (F.col("w0") + F.col("w1")).alias("weight"), "kind", "w0", "w1")
 
 
 def base(weighted: DataFrame) -> DataFrame:
@@ -70,92 +101,147 @@ def with_preceding(stats: DataFrame, pairs: DataFrame) -> DataFrame:
 # --- classifier two-sample test
 
 
-def _merge_bins(cells: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Cells (-1: no usable value) in at most BINS bins of about equal mass, numbered from 1; 0 is no usable value."""
-    mass = np.bincount(np.maximum(cells, 0), weights=np.where(cells >= 0, weight, 0), minlength=CELLS)
-    middle = (np.cumsum(mass) - mass / 2) / max(mass.sum(), 1)
-    return np.where(cells >= 0, 1 + np.minimum((middle * BINS).astype(int), BINS - 1)[np.maximum(cells, 0)], 0)
-
-
-def _fit(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0, rounds: int = 8) -> np.ndarray:
-    """Weighted logistic regression by Newton steps; x holds indicator columns, both classes weigh the same in total."""
-    w = w * np.where(y == 1, 0.5 / max(w[y == 1].sum(), 1e-9), 0.5 / max(w[y == 0].sum(), 1e-9)) * w.sum()
-    beta = np.zeros(x.shape[1])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(beta)), x.T @ (w * (y - p)) - ridge * beta)
-        beta += step
-        if np.abs(step).max() < 1e-4:
-            break
-    return beta
-
+def _sides(pairs: DataFrame) -> DataFrame:
+    """(pair, _l, y): the two loads of each pair, y 1 for the later one."""
+    role = F.explode(F.array(F.struct(F.col("load_id").alias("_l"), F.lit(1).alias("y")), F.struct(F.col("prev_id").alias("_l"), F.lit(0).alias("y")))).alias("r")
+    return pairs.select(F.col("load_id").alias("pair"), role).select("pair", "r.*")
 
-def _area(score: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
-    """Weighted area under the ROC curve, ties by half; nan if a class is missing."""
-    values, at = np.unique(np.round(score, 9), return_inverse=True)
-    pos, neg = np.bincount(at, w * (y == 1), len(values)), np.bincount(at, w * (y == 0), len(values))
-    if not pos.sum() or not neg.sum():
-        return float("nan")
-    return float((pos * (np.cumsum(neg) - neg / 2)).sum() / (pos.sum() * neg.sum()))
 
+def _areas(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, area) from (keys, fold, score, pos, neg): the area under the ROC curve of each fold, ties by half, averaged by the folds' rows.
 
-def _cross_fitted(bins: np.ndarray, y: np.ndarray, fold: np.ndarray, w: np.ndarray) -> float:
-    """Discrimination of rows by the model of the other fold. bins: a column of bin numbers per feature group."""
-    if not bins.shape[1]:
-        return 0.5
-    x = np.concatenate([np.eye(BINS + 1)[bins[:, j]] for j in range(bins.shape[1])], axis=1)
-    areas, sizes = [], []
-    for f in (0, 1):
-        train, test = fold != f, fold == f
-        if len(set(y[train])) == 2 and len(set(y[test])) == 2:
-            areas.append(_area(x[test] @ _fit(x[train], y[train], w[train]), y[test], w[test]))
-            sizes.append(w[test].sum())
-    return float(np.average(areas, weights=sizes)) if areas else float("nan")
+    A fold without rows of one of the loads, or whose score is null, does not count; without any the area is null.
+    """
+    own = [*keys, "fold"]
+    by = scored.where("score is not null").groupBy(*own, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    below = F.sum("neg").over(Window.partitionBy(*own).orderBy("score")) - F.col("neg") / 2
+    folds = by.withColumn("_below", below).groupBy(*own).agg(F.sum(F.col("pos") * F.col("_below")).alias("a"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    able = folds.where("p > 0 and n > 0").withColumn("w", F.col("p") + F.col("n"))
+    return able.groupBy(*keys).agg((F.sum(F.col("a") / F.col("p") / F.col("n") * F.col("w")) / F.sum("w")).alias("area"))
+
+
+def _ratio(a: Column, b: Column, na: Column, nb: Column) -> Column:
+    """The coefficient of an indicator in a model of one column, its maximum shrunk by half a row of each load; null if a load has no row."""
+    return F.when((na > 0) & (nb > 0), F.log((a + 0.5) / (na + 0.5)) - F.log((b + 0.5) / (nb + 0.5)))
+
+
+def _binned(weighted: DataFrame, sides: DataFrame) -> DataFrame:
+    """(pair, kind, cell, a0, a1, b0, b1, na, nb, bin, joint): rows of both loads (a later, b earlier) in each cell and fold, and its bins."""
+    cells = weighted.where("inside").groupBy(F.col("load_id").alias("_l"), "kind", "cell").agg(F.sum("w0").alias("w0"), F.sum("w1").alias("w1"))
+    pick = lambda y, w: F.sum(F.when(F.col("y") == y, F.col(w)).otherwise(0))
+    both = cells.join(sides, "_l").groupBy("pair", "kind", "cell").agg(pick(1, "w0").alias("a0"), pick(1, "w1").alias("a1"), pick(0, "w0").alias("b0"), pick(0, "w1").alias("b1"))
+    own = Window.partitionBy("pair", "kind")
+    sums = both.withColumn("na", F.sum(F.col("a0") + F.col("a1")).over(own)).withColumn("nb", F.sum(F.col("b0") + F.col("b1")).over(own))
+    mass = (F.col("a0") + F.col("a1")) / F.greatest("na", F.lit(1)) + (F.col("b0") + F.col("b1")) / F.greatest("nb", F.lit(1))
+    sums = sums.withColumn("_m", mass).withColumn("_at", (F.sum("_m").over(own.orderBy("cell")) - F.col("_m") / 2) / F.sum("_m").over(own))
+    number = lambda bins: (F.least(F.floor(F.col("_at") * bins), F.lit(bins - 1)) + 1).cast("int")
+    return sums.select("pair", "kind", "cell", "a0", "a1", "b0", "b1", "na", "nb", number(BINS).alias("bin"), number(JOINT_BINS).alias("joint"))
+
+
+def _alone(binned: DataFrame) -> DataFrame:
+    """(pair, kind, auc_alone, auc_error, top_bin, n_least) of models from which all other columns are ablated, over usable values."""
+    c = F.col
+    bins = binned.groupBy("pair", "kind", "bin").agg(*[F.sum(x).alias(x) for x in ("a0", "a1", "b0", "b1")], F.first("na").alias("na"), F.first("nb").alias("nb"))
+    own = Window.partitionBy("pair", "kind")
+    totals = {f"t{x}": F.sum(x).over(own) for x in ("a0", "a1", "b0", "b1")}
+    rows = bins.withColumns(totals)
+    fold = lambda f, g: F.struct(F.lit(f).alias("fold"), _ratio(c(f"a{g}"), c(f"b{g}"), c(f"ta{g}"), c(f"tb{g}")).alias("score"), c(f"a{f}").alias("pos"), c(f"b{f}").alias("neg"))
+    areas = _areas(rows.select("pair", "kind", F.explode(F.array(fold(0, 1), fold(1, 0))).alias("x")).select("pair", "kind", "x.*"), ["pair", "kind"]).withColumnRenamed("area", "auc_alone")
+    top = F.greatest((c("a0") + c("a1")) / F.greatest("na", F.lit(1)), (c("b0") + c("b1")) / F.greatest("nb", F.lit(1)))
+    error = F.when((c("na") > 0) & (c("nb") > 0), F.sqrt((c("na") + c("nb") + 1) / (12.0 * c("na") * c("nb"))))
+    sizes = rows.groupBy("pair", "kind").agg(F.first(error).alias("auc_error"), F.max(top).alias("top_bin"), F.first(F.least(*totals)).alias("n_least"))
+    return sizes.join(areas, ["pair", "kind"], "left")
+
+
+def _design(counts: DataFrame, sides: DataFrame, binned: DataFrame, k: int) -> DataFrame:
+    """(pair, fold, y, b0 .. , w): the rows of each pair by the joint bins of all columns; bin 0 is no usable value, both loads weigh the same."""
+    maps = binned.groupBy("pair").agg(*[F.map_from_entries(F.collect_list(F.when(F.col("kind") == i, F.struct("cell", "joint")))).alias(f"m{i}") for i in range(k)])
+    rows = counts.where("kind = -1").withColumnRenamed("load_id", "_l").join(sides, "_l").join(maps, "pair")
+    bins = [F.coalesce(F.try_element_at(f"m{i}", F.col("cells")[i]), F.lit(0)).alias(f"b{i}") for i in range(k)]
+    names = [f"b{i}" for i in range(k)]
+    cut = rows.select("pair", "y", *bins, "w0", "w1").groupBy("pair", "y", *names).agg(F.sum("w0").alias("w0"), F.sum("w1").alias("w1"))
+    long = cut.select("pair", "y", *names, F.explode(F.array(*[F.struct(F.lit(f).alias("fold"), F.col(f"w{f}").alias("n")) for f in (0, 1)])).alias("x")).select("pair", "y", *names, "x.*").where("n > 0")
+    totals = long.groupBy("pair", "fold").agg(F.sum(F.col("n") * F.col("y")).alias("_n1"), F.sum(F.col("n") * (1 - F.col("y"))).alias("_n0"))
+    share = F.when(F.col("y") == 1, F.col("n") / F.col("_n1")).otherwise(F.col("n") / F.col("_n0")) * (F.col("_n1") + F.col("_n0")) / 2
+    return long.join(totals, ["pair", "fold"]).select("pair", "fold", "y", *names, "n", share.alias("w"))
+
+
+def _fitted_area(design: DataFrame, columns: list[int]) -> DataFrame:
+    """(pair, area): the cross-fitted area of the model of the given columns.
+
+    Coefficients of a pair's two models are a map from the indicator's number. All steps group and join by the pair, by which the cells are shuffled
+    once, so the whole training is one stage.
+    """
+    k, width = len(columns), JOINT_BINS + 1
+    number = lambda model: [model * (k * width) + F.col(f"b{i}") + j * width for j, i in enumerate(columns)]
+    eta = lambda model: sum((F.coalesce(F.try_element_at("beta", x), F.lit(0.0)) for x in number(model)), F.lit(0.0))
+    rows, own, other = design.repartition("pair"), F.col("fold"), 1 - F.col("fold")  # a row trains the model that is tested on the other fold
+    pos, neg = F.sum(F.col("w") * F.col("y")), F.sum(F.col("w") * (1 - F.col("y")))
+    coefficients = rows.select("pair", "y", "w", F.explode(F.array(*number(other))).alias("at")).groupBy("pair", "at").agg((F.log((pos + 0.5) / (neg + 0.5)) / k).alias("beta"))
+    for step in range(ROUNDS * k if k > 1 else 0, -1, -1):
+        model = coefficients.groupBy("pair").agg(F.map_from_entries(F.collect_list(F.struct("at", "beta"))).alias("beta")).hint("shuffle_hash")
+        if not step:
+            break
+        p = 1 / (1 + F.exp(-eta(other)))
+        old = F.array(*[F.struct(x.alias("at"), F.coalesce(F.try_element_at("beta", x), F.lit(0.0)).alias("old")) for x in number(other)])
+        fitted = rows.join(model, "pair").select("pair", "w", "y", p.alias("p"), F.explode(old).alias("x")).select("pair", "w", "y", "p", "x.*")
+        sums = fitted.groupBy("pair", "at").agg(F.first("old").alias("old"), F.sum(F.col("w") * (F.col("y") - F.col("p"))).alias("g"), F.sum(F.col("w") * F.col("p") * (1 - F.col("p"))).alias("h"))
+        moves = F.floor(F.col("at") / width) % k == step % k  # the column whose turn it is
+        coefficients = sums.select("pair", "at", (F.col("old") + F.when(moves, (F.col("g") - RIDGE * F.col("old")) / (F.col("h") + RIDGE)).otherwise(0.0)).alias("beta"))
+    tested = rows.join(model, "pair").select("pair", "fold", F.round(eta(own), 9).alias("score"), (F.col("n") * F.col("y")).alias("pos"), (F.col("n") * (1 - F.col("y"))).alias("neg"))
+    return _areas(tested, ["pair"])
+
+
+def areas(counts: DataFrame, domains: Domains, pairs: DataFrame) -> DataFrame:
+    """(load_id, column_name, auc_full, auc_without, auc_alone, auc_error, top_bin, n_least) of each load against the preceding one.
+
+    auc_full uses all columns, auc_without all but this one, auc_alone only this one over its usable values; auc_error is the standard error of
+    an area of 0.5 at these sizes, top_bin the largest share of a load in one bin, n_least the rows of the smaller load in the smaller fold.
+    An area is null where no fold has rows of both loads. Of a single column, auc_full is auc_alone and auc_without 0.5.
+    """
+    names, sides = list(domains), _sides(pairs)
+    binned = stored(_binned(weighted_of(counts, domains), sides))
+    named = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("kind") + 1).alias("column_name")
+    out = _alone(binned)
+    if len(names) == 1:
+        out = out.withColumn("auc_full", F.col("auc_alone")).withColumn("auc_without", F.lit(0.5))
+    else:
+        design = stored(_design(counts, sides, binned, len(names)))
+        out = out.join(_fitted_area(design, list(range(len(names)))).withColumnRenamed("area", "auc_full"), "pair", "left")
+        without = None
+        for i in range(len(names)):
+            part = _fitted_area(design, [j for j in range(len(names)) if j != i]).withColumn("kind", F.lit(i))
+            without = part if without is None else without.unionByName(part)
+        out = out.join(without.withColumnRenamed("area", "auc_without"), ["pair", "kind"], "left")
+    return out.select(F.col("pair").alias("load_id"), named, "auc_full", "auc_without", "auc_alone", "auc_error", "top_bin", "n_least")
 
 
 def two_sample(df: DataFrame, load: str, row_id: str, domains: Domains, pairs: DataFrame) -> DataFrame:
-    """(load_id, column_name, auc_full, auc_without, auc_alone, auc_error) of each load against the preceding one.
+    """areas() of a table; every row counts."""
+    return areas(counted(df, load, row_id, domains), domains, pairs)
 
-    Every row counts. Rows are first compressed to cells (load, fold, one cell per column), so a pair's model sees at most
-    2 * 2 * 257**columns weighted cells however large the loads are, and all pairs train in parallel. auc_full uses all
-    columns, auc_without all but this one, auc_alone only this one over its usable values; auc_error is the standard error
-    of an area of 0.5 at these sizes. An area is null where a fold lacks rows of either load.
-    """
-    names = list(domains)
-    cell = [F.coalesce(F.when(F.col(f"`{c}`").cast("double").between(a, b), _cell_of(c, a, b)), F.lit(-1)).alias(f"c{i}") for i, (c, (a, b)) in enumerate(domains.items())]
-    fold = F.pmod(F.xxhash64(F.col(f"`{row_id}`").cast("string")), F.lit(2)).cast("int").alias("fold")
-    cells = df.select(F.col(f"`{load}`").alias("_l"), fold, *cell).groupBy("_l", "fold", *[f"c{i}" for i in range(len(names))]).agg(F.count(F.lit(1)).alias("w"))
-    role = F.explode(F.array(F.struct(F.col("load_id").alias("_l"), F.lit(1).alias("y")), F.struct(F.col("prev_id").alias("_l"), F.lit(0).alias("y")))).alias("r")
-    sides = pairs.select("load_id", role).select("load_id", "r._l", "r.y")
 
-    def test(part: pd.DataFrame) -> pd.DataFrame:
-        y, f, w = part["y"].to_numpy(), part["fold"].to_numpy(), part["w"].to_numpy(float)
-        raw = [part[f"c{i}"].to_numpy() for i in range(len(names))]
-        bins = np.stack([_merge_bins(c, w) for c in raw], axis=1)
-        full = _cross_fitted(bins, y, f, w)
-        out = []
-        for i, name in enumerate(names):
-            use = raw[i] >= 0
-            n1, n0 = w[use & (y == 1)].sum(), w[use & (y == 0)].sum()
-            error = float(np.sqrt((n1 + n0 + 1) / (12 * n1 * n0))) if n1 and n0 else None
-            alone = _cross_fitted(bins[use][:, [i]], y[use], f[use], w[use])
-            top = max((np.bincount(bins[use & (y == k), i], w[use & (y == k)]).max(initial=0) / max(n, 1) for k, n in ((1, n1), (0, n0))), default=0.0)
-            out.append((part["load_id"].iloc[0], name, full, _cross_fitted(np.delete(bins, i, axis=1), y, f, w), alone, error, float(top)))
-        return pd.DataFrame(out, columns=["load_id", "column_name", "auc_full", "auc_without", "auc_alone", "auc_error", "top_bin"])
+def least_area(shift: float) -> Column:
+    """The area from which a column is suspect of a change of at least shift.
 
-    kind = df.schema[load].dataType.simpleString()
-    return sides.join(cells, "_l").groupBy("load_id").applyInPandas(test, f"load_id {kind}, column_name string, auc_full double, auc_without double, auc_alone double, auc_error double, top_bin double")
-
-
-def _cell_of(name: str, lo: float, hi: float):
-    return F.least(F.floor((F.col(f"`{name}`").cast("double") - F.lit(float(lo))) / F.lit(float(hi) - float(lo)) * CELLS), F.lit(CELLS - 1)).cast("int")
+    Shares that differ by shift below some value differ by at least shift - top_bin below some bin's end, and the best model of the bins then has an
+    area of at least half of that above 0.5. From it go what a model loses by training (its coefficients have a standard error of
+    sqrt(2 * BINS / n) each, which costs at most 0.17 * sqrt(BINS / n) of the area) and three standard errors for chance. At 0.5 or less,
+    every pair is suspect: so it is for small shifts, small loads, and loads with much in one bin.
+    """
+    return F.lit(0.5 + shift / 2) - F.col("top_bin") / 2 - 0.17 * F.sqrt(F.lit(float(BINS)) / F.greatest("n_least", F.lit(1))) - 3 * F.coalesce("auc_error", F.lit(1.0))
 
 
-def suspects(tests: DataFrame, area: float = AREA) -> DataFrame:
-    """(load_id, column_name) whose distribution may have changed: the area, with three standard errors for chance, comes up
-    to the least area such a change gives; so do pairs too small to cross-fit, or with so much in one bin that it may hide one."""
-    seen = F.col("auc_alone") + 3 * F.coalesce("auc_error", F.lit(1.0))
-    return tests.where(F.isnan("auc_alone") | F.col("auc_alone").isNull() | (seen >= area) | (F.col("top_bin") >= 0.15)).select("load_id", "column_name")
+def suspects(tests: DataFrame, shift: float) -> DataFrame:
+    """(load_id, column_name, ground) whose distribution may have changed by shift: small where the test cannot tell, alone where the column by itself
+    reaches the least area, ablation where the full model loses that much by leaving it out. The largest ground comes first."""
+    least = least_area(shift)
+    ground = (
+        F.when(F.col("auc_alone").isNull() | (least <= 0.5), "small")
+        .when(F.col("auc_alone") >= least, "alone")
+        .when(F.col("auc_full") - F.col("auc_without") >= F.greatest(least - 0.5, 3 * F.col("auc_error")), "ablation")
+    )
+    return tests.withColumn("ground", ground).where("ground is not null").select("load_id", "column_name", "ground")
 
 
 def largest_difference(weighted: DataFrame, asked: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -190,7 +276,8 @@ def findings(df: DataFrame, table_name: str, loads: DataFrame, load: str, row_id
     preceding one can only have range; so can rows whose load_id is not in loads. An empty table has no finding.
     """
     pairs = preceding(loads)
-    weighted = value_weights(df, load, domains)
+    counts = counted(df, load, row_id, domains)
+    weighted = weighted_of(counts, domains)
     stats = with_preceding(base(weighted), pairs)
     has = F.col("prev_n_rows").isNotNull()
     big = lambda c: F.col(c).cast("decimal(19,0)")
@@ -201,13 +288,17 @@ def findings(df: DataFrame, table_name: str, loads: DataFrame, load: str, row_id
         "distinct": has & (F.col("n_distinct") != F.col("prev_n_distinct")) & ((F.col("n_distinct") * factor <= F.col("prev_n_distinct")) | (F.col("n_distinct") >= F.col("prev_n_distinct") * factor)),
     }
     told = stats.select("column_name", "load_id", F.explode(F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]))).alias("aspect"))
-    asked = suspects(two_sample(df, load, row_id, domains, pairs))
+    asked = suspects(areas(counts, domains, pairs), shift).select("load_id", "column_name")
     moved = largest_difference(weighted, asked, pairs).where(F.col("diff") >= exact(shift) * F.col("of").cast("decimal(30,0)"))
     return told.unionByName(moved.select("column_name", "load_id", F.lit("distribution").alias("aspect"))).select(F.lit(table_name).alias("table_name"), "column_name", "load_id", "aspect")
 
 
 def profile(df: DataFrame, table_name: str, loads: DataFrame, load: str, row_id: str, domains: Domains) -> DataFrame:
-    """The base aggregates of every load and column, and the classifier's discrimination from the preceding load."""
+    """The base aggregates of every load and column, the shares of nulls of the load and the preceding one, and the largest difference of their distributions."""
     pairs = preceding(loads)
-    stats = base(value_weights(df, load, domains)).withColumn("null_share", F.col("n_null") / F.col("n_rows"))
-    return stats.join(two_sample(df, load, row_id, domains, pairs).drop("top_bin"), ["load_id", "column_name"], "left").withColumn("table_name", F.lit(table_name))
+    weighted = weighted_of(counted(df, load, row_id, domains), domains)
+    stats = with_preceding(base(weighted), pairs)
+    every = pairs.select("load_id", F.explode(F.array(*[F.lit(c) for c in domains])).alias("column_name"))
+    moved = largest_difference(weighted, every, pairs).select("load_id", "column_name", (F.col("diff") / F.col("of")).cast("double").alias("largest_difference"))
+    shares = stats.withColumn("null_share", F.col("n_null") / F.col("n_rows")).withColumn("prev_null_share", F.col("prev_n_null") / F.col("prev_n_rows"))
+    return shares.join(moved, ["load_id", "column_name"], "left").withColumn("table_name", F.lit(table_name))

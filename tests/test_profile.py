@@ -91,3 +91,52 @@ def test_base_counts(spark, made):
     got = P.base(P.value_weights(spark.createDataFrame(rows, SCHEMA), "load_id", {"x": (0, 93)}))
     one = got.where("load_id = 10").first()
     assert (one["n_rows"], one["n_outside"], one["n_null"], one["n_inside"]) == (300, 3, 0, 297)
+
+
+@pytest.mark.parametrize("shift", [0.05, 0.1, 0.2, 0.3, 0.5])
+def test_the_gate_keeps_every_change_of_the_asked_size(spark, shift):
+    """Loads that differ by a little less, as much and a little more than shift, in four shapes and sizes: every change is found, no other is."""
+    rng = np.random.default_rng(int(shift * 100))
+    rows, loads, n = [], [], 0
+    for sample, size in (("small", 300), ("middle", 3000), ("large", 12_000)):
+        for no in range(1, 9):
+            part = shift * (0.9, 1.15, 1.02, 1.4)[no // 2 % 4] if no % 2 == 0 else 0.0
+            x = rng.normal(40, 8, size)
+            moved = rng.random(size) < part
+            x = np.where(moved, (x + 45, 3.0, 90 - x / 9, x / 4)[no // 2 % 4], x).clip(0, 93)
+            load = len(loads) + 1
+            loads.append((load, sample, no))
+            rows.append(pd.DataFrame({"ingest_seq": np.arange(n, n + size), "load_id": load, "x": x.round(3)}))
+            n += size
+    df = pd.concat(rows)
+    values = {k: np.sort(g["x"].to_numpy()) for k, g in df.groupby("load_id")}
+    want = set()
+    for load, _, no in loads:
+        if no > 1:
+            a, b = values[load], values[load - 1]
+            at = np.union1d(a, b)
+            if np.abs(np.searchsorted(a, at, "right") * len(b) - np.searchsorted(b, at, "right") * len(a)).max() >= round(shift * len(a) * len(b), 3):
+                want.add(load)
+    got = P.findings(spark.createDataFrame(df), "t", spark.createDataFrame(loads, LOADS), "load_id", "ingest_seq", {"x": (0, 93)}, shift=shift)
+    assert {r["load_id"] for r in got.where("aspect = 'distribution'").collect()} == want and want
+
+
+def test_a_column_that_the_others_know_of_is_told_by_ablation(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(20, 3, 8000)
+    frame = pd.DataFrame({"ingest_seq": range(8000), "load_id": np.repeat([1, 2], 4000), "x": x, "y": 60 - x + np.repeat([0, 1], 4000) * 4 + rng.normal(0, 1, 8000), "z": rng.normal(30, 5, 8000)})
+    loads = spark.createDataFrame([(1, "s", 1), (2, "s", 2)], LOADS)
+    tests = P.two_sample(spark.createDataFrame(frame), "load_id", "ingest_seq", {c: (0, 93) for c in "xyz"}, P.preceding(loads))
+    got = {r["column_name"]: r for r in tests.collect()}
+    grounds = {r["column_name"]: r["ground"] for r in P.suspects(tests, 0.3).collect()}
+    # x itself did not change, but what it says of y did: without it the model tells less
+    assert got["x"]["auc_full"] - got["x"]["auc_without"] > 0.05 and abs(got["x"]["auc_alone"] - 0.5) < 0.03
+    assert grounds["y"] == "alone" and "z" not in grounds and abs(got["z"]["auc_full"] - got["z"]["auc_without"]) < 0.02
+
+
+def test_each_table_is_scanned_once(spark, tmp_path):
+    from calypile.plans import problems
+
+    spark.createDataFrame([(i, i % 2 + 1, float(i % 50), float(i % 40)) for i in range(600)], "ingest_seq bigint, load_id int, ave_baseq double, ave_alignq double").write.parquet(f"{tmp_path}/{problems.READS}.parquet")
+    df = P.findings(spark.read.parquet(f"{tmp_path}/{problems.READS}.parquet"), "t", spark.createDataFrame([(1, "s", 1), (2, "s", 2)], LOADS), "load_id", "ingest_seq", problems.QUALITY)
+    assert problems.READS not in df._jdf.queryExecution().optimizedPlan().toString() and problems.READS not in " ".join(df.inputFiles())
