@@ -59,35 +59,42 @@ def _decoded(body: str, transfer: str, charset: str) -> str:
         return raw.decode("utf-8", "replace")
 
 
-def bodies(text: str, depth: int = 0) -> list[tuple[bool, str]]:
-    """(is HTML, decoded text) of each body part that is shown: attachments and parts of other types are left out."""
-    head, body = "", text
-    if _HEADER.match(text) or depth:
-        at = 0 if depth and text.startswith("\n") else text.find("\n\n")
-        head, body = (text, "") if at < 0 else (text[:at], text[at + 2 if not (depth and text.startswith("\n")) else 1 :])
-        if at < 0 and not _FIELD.search(text):
-            head, body = "", text
-    fields = _fields(head)
-    kind = fields.get("content-type", "text/plain")
-    low = kind.lower()
-    if low.startswith("multipart/") and depth < 12:
-        named = _BOUNDARY.search(kind)
-        mark = named and (named[1] or named[2])
-        if not mark:
-            return [(False, body)]
-        parts = re.split(r"^--" + re.escape(mark) + r"(--)?[ \t]*$\n?", body, flags=re.M)
-        out, closed = [], False
-        for closing, part in zip(parts[1::2], parts[2::2], strict=True):
-            closed = closed or bool(closing)
-            if not closed:
-                out += bodies(part, depth + 1)
-        return out
-    if "attachment" in fields.get("content-disposition", "").lower() or "filename" in fields.get("content-disposition", "").lower():
-        return []
-    if low.startswith("message/") or not low.startswith(("text/plain", "text/html")):
-        return []
-    charset = re.search(r'charset\s*=\s*"?([^\s";]+)', low)
-    return [(low.startswith("text/html"), _decoded(body, fields.get("content-transfer-encoding", "").lower(), charset[1] if charset else ""))]
+def bodies(text: str) -> list[tuple[bool, str]]:
+    """(is HTML, decoded text) of each body part that is shown, however deep in multiparts: attachments and parts of other types are left out."""
+    out: list[tuple[bool, str]] = []
+    todo = [(text, False)]  # the parts still to read, the next one last, and whether they are parts of a multipart
+    while todo:
+        part, inner = todo.pop()
+        head, body = "", part
+        if inner or _HEADER.match(part):
+            bare = inner and part.startswith("\n")
+            at = 0 if bare else part.find("\n\n")
+            head, body = (part, "") if at < 0 else (part[:at], part[at + (1 if bare else 2) :])
+            if at < 0 and not _FIELD.search(part):
+                head, body = "", part
+        fields = _fields(head)
+        kind = fields.get("content-type", "text/plain")
+        low = kind.lower()
+        if low.startswith("multipart/"):
+            named = _BOUNDARY.search(kind)
+            mark = named and (named[1] or named[2])
+            if not mark:
+                out.append((False, body))
+                continue
+            parts = re.split(r"^--" + re.escape(mark) + r"(--)?[ \t]*$\n?", body, flags=re.M)
+            own = []
+            for closing, child in zip(parts[1::2], parts[2::2], strict=True):
+                if closing:
+                    break
+                own.append((child, True))
+            todo += own[::-1]
+            continue
+        placed = fields.get("content-disposition", "").lower()
+        if "attachment" in placed or "filename" in placed or not low.startswith(("text/plain", "text/html")):
+            continue
+        charset = re.search(r'charset\s*=\s*"?([^\s";]+)', low)
+        out.append((low.startswith("text/html"), _decoded(body, fields.get("content-transfer-encoding", "").lower(), charset[1] if charset else "")))
+    return out
 
 
 def _without_quotes(markup: str) -> str:

@@ -132,3 +132,33 @@ def test_slots_behind_a_colon_are_weighed(spark):
 def test_nothing_trusted(spark):
     df = spark.createDataFrame([(i, mail(f"Dear Ann,\n\n{t}\n\nBest,\nBo")) for i, t in enumerate(ORDINARY)], "doc_id bigint, text string")
     assert [r["found"] for r in R.decide(df, "doc_id", "text").collect()] == [False] * 5
+
+
+def test_marks_of_any_form_are_found_in_one_pass():
+    assert R.shaped("Dear ~~first_name~~, your ^^{order id}^^ is ++ready++")[1] == 3
+    assert R.shaped("pay §§Amount.Due§§ now")[0].split() == ["pay", "¶shapea7a7¶", "now"]
+    for plain in ("a ** 2 ** c", "see -- this -- one", "x == y", "10 %% of 20", "…name…", "((aside))", "~~open <<name", "*one*", "[K03]"):
+        assert R.shaped(plain) == (plain, 0)
+    assert R.shaped("~~" + "word " * 20_000 + "end~~")[1] == 1  # names of any length
+    assert R.shaped("~~ " * 200_000)[1] == 0
+
+
+def test_unlisted_shapes_are_learned_from_greetings(spark):
+    """Marks that stand in greetings of short lines are learned as placeholders; the same kind of marks in prose only are not."""
+    prose = ["we met the **whole team** of the second floor and had lunch", "the list of **open points** is short and everyone knows it", "please read the **third page** before the meeting on Monday", "nothing about the **new pump** has changed since last week"]
+    docs = []
+    for i in range(60):
+        docs.append((len(docs), f"Dear ~~first_name~~,\n\nyour parcel number ~~order_id~~ has left our store.\n\nKind regards,\nShop {i % 7}"))
+        docs.append((len(docs), f"Dear Anna,\n\n{prose[i % 4]}, {i} of us.\n\nKind regards,\nTeam {i % 5}"))
+        docs.append((len(docs), f"Hello {{{{name}}}},\n\nyour ticket {{{{ticket}}}} was closed today.\n\nKind regards,\nDesk {i % 3}"))
+    got = {r["doc_id"] for r in R.residue(spark.createDataFrame(docs, "doc_id bigint, text string"), "doc_id", "text").collect()}
+    assert got == {i for i, t in docs if "~~" in t or "{{" in t}
+
+
+def test_multiparts_of_any_depth():
+    text = "Content-Type: text/plain\n\nHello {{name}}, all is well.\n"
+    for depth in range(400):
+        text = f'Content-Type: multipart/mixed; boundary="b{depth}"\n\n--b{depth}\n{text}\n--b{depth}--\n'
+    assert [p.strip() for part in own_paragraphs(text) for p in part] == ["Hello {{name}}, all is well."]
+    first = "\n".join(f"--x\nContent-Type: text/plain\n\npart {i}\n" for i in range(3))
+    assert [p.strip() for part in own_paragraphs(f"Content-Type: multipart/mixed; boundary=x\n\n{first}\n--x--\n--x\n\nbehind") for p in part] == ["part 0", "part 1", "part 2"]
