@@ -17,6 +17,8 @@ one column has its maximum in closed form, the logarithm of the ratio of the cou
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,36 +128,43 @@ def _ratio(a: Column, b: Column, na: Column, nb: Column) -> Column:
 
 
 def _binned(weighted: DataFrame, sides: DataFrame) -> DataFrame:
-    """(pair, kind, cell, a0, a1, b0, b1, na, nb, bin, joint): rows of both loads (a later, b earlier) in each cell and fold, and its bins."""
-    cells = weighted.where("inside").groupBy(F.col("load_id").alias("_l"), "kind", "cell").agg(F.sum("w0").alias("w0"), F.sum("w1").alias("w1"))
+    """(pair, kind, cell, a0, a1, b0, b1, na, nb, bin, joint): rows of both loads (a later, b earlier) in each cell and fold, and its bins.
+
+    Rows without a usable value have cell null and bin 0; na and nb count the usable ones.
+    """
+    cells = weighted.groupBy(F.col("load_id").alias("_l"), "kind", "cell").agg(F.sum("w0").alias("w0"), F.sum("w1").alias("w1"))
     pick = lambda y, w: F.sum(F.when(F.col("y") == y, F.col(w)).otherwise(0))
     both = cells.join(sides, "_l").groupBy("pair", "kind", "cell").agg(pick(1, "w0").alias("a0"), pick(1, "w1").alias("a1"), pick(0, "w0").alias("b0"), pick(0, "w1").alias("b1"))
-    own = Window.partitionBy("pair", "kind")
-    sums = both.withColumn("na", F.sum(F.col("a0") + F.col("a1")).over(own)).withColumn("nb", F.sum(F.col("b0") + F.col("b1")).over(own))
-    mass = (F.col("a0") + F.col("a1")) / F.greatest("na", F.lit(1)) + (F.col("b0") + F.col("b1")) / F.greatest("nb", F.lit(1))
+    own, usable = Window.partitionBy("pair", "kind"), F.col("cell").isNotNull().cast("int")
+    sums = both.withColumn("na", F.sum((F.col("a0") + F.col("a1")) * usable).over(own)).withColumn("nb", F.sum((F.col("b0") + F.col("b1")) * usable).over(own))
+    mass = ((F.col("a0") + F.col("a1")) / F.greatest("na", F.lit(1)) + (F.col("b0") + F.col("b1")) / F.greatest("nb", F.lit(1))) * usable
     sums = sums.withColumn("_m", mass).withColumn("_at", (F.sum("_m").over(own.orderBy("cell")) - F.col("_m") / 2) / F.sum("_m").over(own))
-    number = lambda bins: (F.least(F.floor(F.col("_at") * bins), F.lit(bins - 1)) + 1).cast("int")
+    number = lambda bins: F.when(usable == 1, F.least(F.floor(F.col("_at") * bins), F.lit(bins - 1)) + 1).otherwise(0).cast("int")
     return sums.select("pair", "kind", "cell", "a0", "a1", "b0", "b1", "na", "nb", number(BINS).alias("bin"), number(JOINT_BINS).alias("joint"))
 
 
 def _alone(binned: DataFrame) -> DataFrame:
-    """(pair, kind, auc_alone, auc_error, top_bin, n_least) of models from which all other columns are ablated, over usable values."""
+    """(pair, kind, auc_alone, auc_single, auc_error, top_bin, n_least) of models from which all other columns are ablated: over usable values, and
+    in the coarser bins of the joint models over all rows."""
     c = F.col
-    bins = binned.groupBy("pair", "kind", "bin").agg(*[F.sum(x).alias(x) for x in ("a0", "a1", "b0", "b1")], F.first("na").alias("na"), F.first("nb").alias("nb"))
-    own = Window.partitionBy("pair", "kind")
-    totals = {f"t{x}": F.sum(x).over(own) for x in ("a0", "a1", "b0", "b1")}
-    rows = bins.withColumns(totals)
+    tests = F.explode(F.array(F.struct(F.lit("auc_alone").alias("test"), c("bin").alias("at")), F.struct(F.lit("auc_single").alias("test"), (c("joint") + 1).alias("at")))).alias("x")
+    bins = binned.select("pair", "kind", "a0", "a1", "b0", "b1", "na", "nb", tests).where("x.at > 0").groupBy("pair", "kind", c("x.test").alias("test"), c("x.at").alias("at")).agg(*[F.sum(x).alias(x) for x in ("a0", "a1", "b0", "b1")], F.first("na").alias("na"), F.first("nb").alias("nb"))
+    own = Window.partitionBy("pair", "kind", "test")
+    rows = bins.withColumns({f"t{x}": F.sum(x).over(own) for x in ("a0", "a1", "b0", "b1")})
     fold = lambda f, g: F.struct(F.lit(f).alias("fold"), _ratio(c(f"a{g}"), c(f"b{g}"), c(f"ta{g}"), c(f"tb{g}")).alias("score"), c(f"a{f}").alias("pos"), c(f"b{f}").alias("neg"))
-    areas = _areas(rows.select("pair", "kind", F.explode(F.array(fold(0, 1), fold(1, 0))).alias("x")).select("pair", "kind", "x.*"), ["pair", "kind"]).withColumnRenamed("area", "auc_alone")
+    scored = rows.select("pair", "kind", "test", F.explode(F.array(fold(0, 1), fold(1, 0))).alias("x")).select("pair", "kind", "test", "x.*")
+    either = _areas(scored, ["pair", "kind", "test"]).groupBy("pair", "kind").agg(*[F.max(F.when(c("test") == t, c("area"))).alias(t) for t in ("auc_alone", "auc_single")])
     top = F.greatest((c("a0") + c("a1")) / F.greatest("na", F.lit(1)), (c("b0") + c("b1")) / F.greatest("nb", F.lit(1)))
     error = F.when((c("na") > 0) & (c("nb") > 0), F.sqrt((c("na") + c("nb") + 1) / (12.0 * c("na") * c("nb"))))
-    sizes = rows.groupBy("pair", "kind").agg(F.first(error).alias("auc_error"), F.max(top).alias("top_bin"), F.first(F.least(*totals)).alias("n_least"))
-    return sizes.join(areas, ["pair", "kind"], "left")
+    fine = F.when(c("test") == "auc_alone", 1)
+    least = F.least("ta0", "ta1", "tb0", "tb1")
+    sizes = rows.groupBy("pair", "kind").agg(F.first(error).alias("auc_error"), F.coalesce(F.max(fine * top), F.lit(1.0)).alias("top_bin"), F.coalesce(F.max(fine * least), F.lit(0)).alias("n_least"))
+    return sizes.join(either, ["pair", "kind"], "left")
 
 
 def _design(counts: DataFrame, sides: DataFrame, binned: DataFrame, k: int) -> DataFrame:
     """(pair, fold, y, b0 .. , w): the rows of each pair by the joint bins of all columns; bin 0 is no usable value, both loads weigh the same."""
-    maps = binned.groupBy("pair").agg(*[F.map_from_entries(F.collect_list(F.when(F.col("kind") == i, F.struct("cell", "joint")))).alias(f"m{i}") for i in range(k)])
+    maps = binned.groupBy("pair").agg(*[F.map_from_entries(F.collect_list(F.when((F.col("kind") == i) & F.col("cell").isNotNull(), F.struct("cell", "joint")))).alias(f"m{i}") for i in range(k)])
     rows = counts.where("kind = -1").withColumnRenamed("load_id", "_l").join(sides, "_l").join(maps, "pair")
     bins = [F.coalesce(F.try_element_at(f"m{i}", F.col("cells")[i]), F.lit(0)).alias(f"b{i}") for i in range(k)]
     names = [f"b{i}" for i in range(k)]
@@ -200,20 +209,22 @@ def areas(counts: DataFrame, domains: Domains, pairs: DataFrame) -> DataFrame:
     An area is null where no fold has rows of both loads. Of a single column, auc_full is auc_alone and auc_without 0.5.
     """
     names, sides = list(domains), _sides(pairs)
-    binned = stored(_binned(weighted_of(counts, domains), sides))
+    binned = _binned(weighted_of(counts, domains), sides)
     named = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("kind") + 1).alias("column_name")
-    out = _alone(binned)
     if len(names) == 1:
-        out = out.withColumn("auc_full", F.col("auc_alone")).withColumn("auc_without", F.lit(0.5))
+        out = _alone(binned).withColumn("auc_full", F.col("auc_alone")).withColumn("auc_without", F.lit(0.5))
     else:
+        binned = stored(binned)
         design = stored(_design(counts, sides, binned, len(names)))
-        out = out.join(_fitted_area(design, list(range(len(names)))).withColumnRenamed("area", "auc_full"), "pair", "left")
-        without = None
-        for i in range(len(names)):
-            part = _fitted_area(design, [j for j in range(len(names)) if j != i]).withColumn("kind", F.lit(i))
-            without = part if without is None else without.unionByName(part)
-        out = out.join(without.withColumnRenamed("area", "auc_without"), ["pair", "kind"], "left")
-    return out.select(F.col("pair").alias("load_id"), named, "auc_full", "auc_without", "auc_alone", "auc_error", "top_bin", "n_least")
+        out = stored(_alone(binned))
+        if len(names) == 2:
+            without = out.select("pair", (1 - F.col("kind")).alias("kind"), F.col("auc_single").alias("auc_without"))
+        else:
+            parts = [_fitted_area(design, [j for j in range(len(names)) if j != i]).select("pair", F.lit(i).alias("kind"), F.col("area").alias("auc_without")) for i in range(len(names))]
+            without = reduce(DataFrame.unionByName, parts)
+        full = _fitted_area(design, list(range(len(names)))).withColumnRenamed("area", "auc_full")
+        out = out.join(full, "pair", "left").join(without, ["pair", "kind"], "left")
+    return stored(out.select(F.col("pair").alias("load_id"), named, "auc_full", "auc_without", "auc_alone", "auc_error", "top_bin", "n_least"))
 
 
 def two_sample(df: DataFrame, load: str, row_id: str, domains: Domains, pairs: DataFrame) -> DataFrame:
