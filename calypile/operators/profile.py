@@ -103,10 +103,10 @@ def with_preceding(stats: DataFrame, pairs: DataFrame) -> DataFrame:
 # --- classifier two-sample test
 
 
-def _sides(pairs: DataFrame) -> DataFrame:
-    """(pair, _l, y): the two loads of each pair, y 1 for the later one."""
+def _sides(pairs: DataFrame, *others: str) -> DataFrame:
+    """(pair, others, _l, y): the two loads of each pair, y 1 for the later one."""
     role = F.explode(F.array(F.struct(F.col("load_id").alias("_l"), F.lit(1).alias("y")), F.struct(F.col("prev_id").alias("_l"), F.lit(0).alias("y")))).alias("r")
-    return pairs.select(F.col("load_id").alias("pair"), role).select("pair", "r.*")
+    return pairs.select(F.col("load_id").alias("pair"), *others, role).select("pair", *others, "r.*")
 
 
 def _areas(scored: DataFrame, keys: list[str]) -> DataFrame:
@@ -138,7 +138,7 @@ def _binned(weighted: DataFrame, sides: DataFrame) -> DataFrame:
     own, usable = Window.partitionBy("pair", "kind"), F.col("cell").isNotNull().cast("int")
     sums = both.withColumn("na", F.sum((F.col("a0") + F.col("a1")) * usable).over(own)).withColumn("nb", F.sum((F.col("b0") + F.col("b1")) * usable).over(own))
     mass = ((F.col("a0") + F.col("a1")) / F.greatest("na", F.lit(1)) + (F.col("b0") + F.col("b1")) / F.greatest("nb", F.lit(1))) * usable
-    sums = sums.withColumn("_m", mass).withColumn("_at", (F.sum("_m").over(own.orderBy("cell")) - F.col("_m") / 2) / F.sum("_m").over(own))
+    sums = sums.withColumn("_m", mass).withColumn("_at", F.try_divide(F.sum("_m").over(own.orderBy("cell")) - F.col("_m") / 2, F.sum("_m").over(own)))
     number = lambda bins: F.when(usable == 1, F.least(F.floor(F.col("_at") * bins), F.lit(bins - 1)) + 1).otherwise(0).cast("int")
     return sums.select("pair", "kind", "cell", "a0", "a1", "b0", "b1", "na", "nb", number(BINS).alias("bin"), number(JOINT_BINS).alias("joint"))
 
@@ -216,7 +216,7 @@ def areas(counts: DataFrame, domains: Domains, pairs: DataFrame) -> DataFrame:
     else:
         binned = stored(binned)
         design = stored(_design(counts, sides, binned, len(names)))
-        out = stored(_alone(binned))
+        out = _alone(binned)
         if len(names) == 2:
             without = out.select("pair", (1 - F.col("kind")).alias("kind"), F.col("auc_single").alias("auc_without"))
         else:
@@ -260,19 +260,18 @@ def largest_difference(weighted: DataFrame, asked: DataFrame, pairs: DataFrame)
 
     Cumulative counts are built over the domain's cells first and within each cell after, so a load is never one task.
     """
-    role = F.explode(F.array(F.struct(F.col("load_id").alias("_l"), F.lit(1).alias("y")), F.struct(F.col("prev_id").alias("_l"), F.lit(0).alias("y")))).alias("r")
-    sides = asked.join(pairs, "load_id").select("load_id", "column_name", role).select(F.col("load_id").alias("_pair"), "column_name", "r.*")
-    counted = (
-        weighted.where("inside").withColumnRenamed("load_id", "_l").join(sides, ["_l", "column_name"])
-        .groupBy("_pair", "column_name", "cell", "value")
-        .agg(F.sum(F.when(F.col("y") == 1, F.col("weight")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("weight")).otherwise(0)).alias("b"))
-    )
+    sides = _sides(asked.join(pairs, "load_id"), "column_name").withColumnRenamed("pair", "_pair")
+    usable = weighted.where("inside").withColumnRenamed("load_id", "_l")
+    both = lambda: [F.sum(F.when(F.col("y") == y, F.col("weight")).otherwise(0)).alias(n) for y, n in ((1, "a"), (0, "b"))]
+    cells = usable.groupBy("_l", "column_name", "cell").agg(F.sum("weight").alias("weight"))
+    sums = cells.join(sides, ["_l", "column_name"]).groupBy("_pair", "column_name", "cell").agg(*both())
     own = Window.partitionBy("_pair", "column_name")
-    sums = counted.groupBy("_pair", "column_name", "cell").agg(F.sum("a").alias("ca"), F.sum("b").alias("cb"))
     for c in "ab":
-        sums = sums.withColumn(f"from_{c}", F.sum(f"c{c}").over(own.orderBy("cell")) - F.col(f"c{c}")).withColumn(f"n_{c}", F.sum(f"c{c}").over(own))
-    inner = Window.partitionBy("_pair", "column_name", "cell").orderBy("value")
-    cum = counted.withColumn("cum_a", F.sum("a").over(inner)).withColumn("cum_b", F.sum("b").over(inner)).join(sums, ["_pair", "column_name", "cell"])
+        sums = sums.withColumn(f"from_{c}", F.sum(c).over(own.orderBy("cell")) - F.col(c)).withColumn(f"n_{c}", F.sum(c).over(own))
+    key = ["_pair", "column_name", "cell"]
+    counted = usable.join(sides, ["_l", "column_name"]).repartition(*key).groupBy(*key, "value").agg(*both())
+    inner = Window.partitionBy(*key).orderBy("value")
+    cum = counted.withColumn("cum_a", F.sum("a").over(inner)).withColumn("cum_b", F.sum("b").over(inner)).drop("a", "b").join(sums.drop("a", "b"), key)
     big = lambda c: F.col(c).cast("decimal(19,0)")
     gap = F.abs((big("from_a") + big("cum_a")) * big("n_b") - (big("from_b") + big("cum_b")) * big("n_a"))
     return cum.where("n_a > 0 and n_b > 0").groupBy(F.col("_pair").alias("load_id"), "column_name").agg(F.max(gap).alias("diff"), F.max(big("n_a") * big("n_b")).alias("of"))

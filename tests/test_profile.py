@@ -134,6 +134,18 @@ def test_a_column_that_the_others_know_of_is_told_by_ablation(spark):
     assert grounds["y"] == "alone" and "z" not in grounds and abs(got["z"]["auc_full"] - got["z"]["auc_without"]) < 0.02
 
 
+def test_columns_without_usable_values(spark):
+    """Of one or both loads, in one or all columns: no distribution is found, and nothing fails."""
+    rows = [(i, 1 + i // 40, [None, 500.0, 20.0 + i % 7][(i // 20) % 3] if i < 120 else None, float("nan") if i < 80 else 5.0) for i in range(160)]
+    loads = spark.createDataFrame([(k, "s", k) for k in range(1, 7)], LOADS)
+    df = spark.createDataFrame(rows, "ingest_seq bigint, load_id int, x double, y double")
+    got = P.findings(df, "t", loads, "load_id", "ingest_seq", {"x": (0, 93), "y": (0, 93)}).collect()
+    assert {(r["column_name"], r["load_id"]) for r in got if r["aspect"] == "distribution"} <= {("x", 2), ("x", 3)}
+    assert {(r["column_name"], r["load_id"]) for r in got if r["aspect"] == "range"} == {("x", 1), ("x", 3), ("y", 1), ("y", 2)}
+    none = P.findings(df.where("load_id = 4"), "t", loads, "load_id", "ingest_seq", {"x": (0, 93)}).collect()
+    assert [r["aspect"] for r in none] == []
+
+
 def test_each_table_is_scanned_once(spark, tmp_path):
     from calypile.plans import problems
 
