@@ -20,7 +20,7 @@ from calypile.operators import calls as C
 from calypile.operators import extract, qc
 from calypile.operators.decode import BASEMODS
 from calypile.operators.regions import BROADCAST_ROWS, annotations, one_region, parse_region
-from calypile.session import checkpointed
+from calypile.session import checkpointed, stored
 from calypile.sources import bam, bed, sam, tables
 
 _SAMPLE = re.compile(r"[A-Za-z0-9_]+")
@@ -171,11 +171,11 @@ def plot_enrichment_profile(spark: SparkSession, files, samples, bed_files, base
     found = extract.sites(reads, regions, basemod, True, window_size, thresh_a, thresh_c, extract.CALLS)
     if out_dir and not overlay:
         found = checkpointed(found)
-    piled = C.pileup(found, ["bed_id", "sample", "pos", "mod"], flag="methylated")
+    piled = stored(C.pileup(found, ["bed_id", "sample", "pos", "mod"], flag="methylated"))
     smooth_rows = C.smoothed(piled, ["bed_id", "sample"], "pos", smooth, min_periods)
     out = {"profile": C.curve(smooth_rows, ["bed_id", "sample"], "rolling_fraction"), "manifest": {}}
     if not overlay:
-        first = extract.calls(found)
+        first = stored(extract.calls(found))
         fam = piled.withColumn("family", mod_family(F.col("mod")))
         out |= {"molecules": C.points(first, ["sample"]), "base_counts": C.dense_axis(fam, ["bed_id", "sample", "family"], "total_bases")}
     if out_dir:
@@ -193,8 +193,10 @@ def qc_report(spark: SparkSession, files, samples, out_dir: str | None = None, p
     """Quality statistics of every read of each sample, unmapped ones included."""
     reads = _union([_reads(spark, f, s) for f, s in _paired(files, samples)])
     rows = qc.qc_rows(reads, primary_only)
-    path = None
-    if out_dir:  # stored first, so that the statistics read the table and not the files again
+    path = None  # the rows are stored first, so that the statistics read the table and not the files again
+    if not out_dir:
+        rows = stored(rows)
+    else:
         path = tables.write_samples(rows, os.path.join(out_dir, "qc_reads"))
         rows = tables.read_samples(spark, path, as_list(samples))
     out = {"reads": rows, "summary": qc.summary_table(rows, ["sample"]), "histogram": qc.histogram(rows, ["sample"], few=True), "n50": qc.n50(rows, ["sample"]), "totals": qc.totals(rows, ["sample"]), "manifest": {}}
