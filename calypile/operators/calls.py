@@ -25,10 +25,13 @@ def modified(prob: Column, threshold: int = THRESHOLD) -> Column:
 
 
 def first_per_id(calls: DataFrame, order: list[str], keys: tuple[str, ...] = ("sample", "id")) -> DataFrame:
-    """The first row of each id by the given order, which must be total; rows with a null id all stay, as keys of their own."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    have = calls.where(F.col(keys[-1]).isNotNull())
-    return have.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").unionByName(calls.where(F.col(keys[-1]).isNull()))
+    """The first row of each id by the given order, which must be total; rows with a null id all stay.
+
+    One scan: rows with a null id are spread by their order, so that they are not one group.
+    """
+    none = F.col(keys[-1]).isNull()
+    w = Window.partitionBy(*keys, F.when(none, F.xxhash64(*order))).orderBy(*order)
+    return calls.withColumn("_n", F.row_number().over(w)).where((F.col("_n") == 1) | none).drop("_n")
 
 
 def pileup(sites: DataFrame, keys: list[str], threshold: int = THRESHOLD, flag: str | None = None) -> DataFrame:
