@@ -1,9 +1,14 @@
-"""Command line: python -m calypile.cli parse-bam | plot-browser | plot-enrichment | plot-enrichment-profile | qc-report."""
+"""Command line: python -m calypile.cli parse-bam | plot-browser | plot-enrichment | plot-enrichment-profile | qc-report.
+
+Installed, each is a command of its own: calypile-parse-bam and so on.
+"""
 
 from __future__ import annotations
 
 import argparse
 import json
+import sys
+from collections.abc import Callable
 
 from calypile import api
 from calypile.session import get_spark
@@ -87,5 +92,15 @@ def main(argv: list[str] | None = None) -> dict:
     return report["manifest"]
 
 
+def _installed(name: str) -> Callable[[], None]:
+    def run() -> None:
+        main([name, *sys.argv[1:]])
+
+    return run
+
+
+parse_bam, plot_browser, plot_enrichment, plot_enrichment_profile, qc_report = map(_installed, ("parse-bam", "plot-browser", "plot-enrichment", "plot-enrichment-profile", "qc-report"))
+
+
 if __name__ == "__main__":
     main()

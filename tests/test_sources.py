@@ -343,3 +343,17 @@ def test_command_line(spark, files, tmp_path, capsys):
         cli.main(["parse-bam", "-f", "x", "-s", "s", "-o", "o", "-b", "b", "-r", "chr1:1-2"])
     with pytest.raises(SystemExit):
         cli.main(["plot-enrichment", "-f", "x", "-s", "s", "-o", "o", "-b", "b", "-m", "A+CG"])
+
+
+def test_installed_commands(monkeypatch, capsys):
+    import pathlib
+    import sys
+    import tomllib
+
+    scripts = tomllib.loads((pathlib.Path(__file__).parent.parent / "pyproject.toml").read_text())["project"]["scripts"]
+    for name, target in scripts.items():
+        monkeypatch.setattr(sys, "argv", [name, "--help"])
+        with pytest.raises(SystemExit) as left:
+            getattr(cli, target.split(":")[1])()
+        assert left.value.code == 0 and name.removeprefix("calypile-") in capsys.readouterr().out
+    assert len(scripts) == 5
