@@ -77,10 +77,11 @@ def parse_bam(spark: SparkSession, file, sample: str, out_dir: str | None = None
     if region is not None:
         chr_, begin, end = parse_region(region)
         reads = reads.where((F.col("chr") == chr_) & (F.col("start") < end) & (F.col("end") > begin))
-    found = extract.sites(reads, where, basemod, center, window_size, thresh_a, thresh_c, extract.CALLS)
+    found, again = extract.tallied(reads, where, basemod, center, window_size, thresh_a, thresh_c, all_bases=extract_all_bases), None
     if out_dir or shared:
-        found = checkpointed(found)
-    out = {"calls": extract.calls(found, extract_all_bases), "pileup": extract.site_pileup(found, center), "manifest": {}}
+        found = stored(found)
+        again = extract.names_again(found)
+    out = {"calls": extract.tallied_calls(found, again), "pileup": extract.site_pileup(found, center), "manifest": {}}
     if out_dir:
         name = bed.basename(file) if isinstance(file, str) else sample
         base = os.path.join(out_dir, name)

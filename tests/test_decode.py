@@ -141,6 +141,36 @@ def test_spans_and_region_arrays(spark, monkeypatch):
             assert sorted(tuple(x) for x in got.select("read_idx", "region_idx", "mod", "pos", "prob").collect()) == sorted(want) and want
 
 
+def test_sites_are_tallied_where_they_are_decoded(spark, monkeypatch):
+    from calypile import api
+    from calypile.operators import calls as C
+    from calypile.operators import extract
+
+    rows = [("s", *r[:1], f"n{r[0] % 70}", *r[1:3], r[2] + 45 if r[2] is not None else None, *r[3:]) for r in random_reads(80, 3)]
+    reads = spark.createDataFrame(rows, "sample string, read_idx bigint, name string, flag int, start bigint, `end` bigint, cigar string, seq string, mm string, ml array<int>").withColumn("chr", F.lit("c"))
+    table = [(f"b{i % 2}", (i * 5) % 23, "c", 4 * i % 90, 4 * i % 90 + 1 + i % 40, "+-"[i % 2]) for i in range(200)] + [("b0", None, "c", 3, 90, "+"), ("b1", 9, "d", 0, 99, "+")]
+    regions = spark.createDataFrame([(b, None if x is None else i, *r) for i, (b, x, *r) in enumerate(table)], "bed_id string, region_idx bigint, chr string, begin_pos bigint, end_pos bigint, strand string")
+    plain = lambda df: sorted(map(str, df.collect()))
+    monkeypatch.setattr(extract, "PAIRS", 100)
+    for limit, cases in ((50_000, ((False, True), (True, False), (True, True))), (2, ((False, False), (True, False)))):
+        monkeypatch.setattr(extract, "BROADCAST_ROWS", limit)
+        for centered, all_bases in cases:
+            every = extract.sites(reads, regions, centered=centered, window=30, columns=extract.CALLS)
+            found = extract.tallied(reads, regions, centered=centered, window=30, by_bed=True, all_bases=all_bases).cache()
+            keys = ["bed_id", "sample", "pos", "mod"] + ([] if centered else ["chr"])
+            assert plain(extract.tallied_pileup(found, keys).select(sorted(keys) + ["methylated_bases", "total_bases"])) == plain(C.pileup(every, keys, flag="methylated").select(sorted(keys) + ["methylated_bases", "total_bases"]))
+            assert plain(extract.site_pileup(found, centered)) == plain(extract.site_pileup(every, centered))
+            want = plain(extract.calls(every, all_bases))
+            again = extract.names_again(found)
+            assert again.count() > 0 and plain(extract.tallied_calls(found)) == want and plain(extract.tallied_calls(found, again)) == want
+            # one row for a read and position, however many regions it is in
+            rows_of = found.where("total_bases is null")
+            assert rows_of.count() == rows_of.select("read_idx", "pos").distinct().count() and every.count() > 5 * rows_of.count()
+            found.unpersist()
+    monkeypatch.setattr(extract, "sites", None)  # the reports must not list a row for each pair of a site and a region
+    assert api.parse_bam(spark, reads, "s", bed_file=regions)["pileup"].count() > 0
+
+
 def test_many_regions_of_one_chr(spark):
     from calypile.operators import extract
 
