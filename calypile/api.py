@@ -11,6 +11,7 @@ import os
 import re
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -169,14 +170,13 @@ def plot_enrichment_profile(spark: SparkSession, files, samples, bed_files, base
         raise RuntimeError("an overlay is of one modification: A or CG")
     regions = _union([_regions(spark, b, i) for b, i in zip(beds, ids, strict=True)])
     reads = _union([_reads(spark, f, s, regions=regions) for f, s in pairs])
-    found = extract.sites(reads, regions, basemod, True, window_size, thresh_a, thresh_c, extract.CALLS)
-    if out_dir and not overlay:
-        found = checkpointed(found)
-    piled = stored(C.pileup(found, ["bed_id", "sample", "pos", "mod"], flag="methylated"))
+    tallied = lambda calls: extract.tallied(reads, regions, basemod, True, window_size, thresh_a, thresh_c, by_bed=True, calls=calls)
+    found = stored(tallied(not overlay)) if out_dir else tallied(False)
+    piled = stored(extract.tallied_pileup(found, ["bed_id", "sample", "pos", "mod"]))
     smooth_rows = C.smoothed(piled, ["bed_id", "sample"], "pos", smooth, min_periods)
     out = {"profile": C.curve(smooth_rows, ["bed_id", "sample"], "rolling_fraction"), "manifest": {}}
     if not overlay:
-        first = stored(extract.calls(found))
+        first = extract.tallied_calls(found, extract.names_again(found)) if out_dir else extract.tallied_calls(tallied(True)).persist(StorageLevel.DISK_ONLY)  # read twice, but only if they are asked for
         fam = piled.withColumn("family", mod_family(F.col("mod")))
         out |= {"molecules": C.points(first, ["sample"]), "base_counts": C.dense_axis(fam, ["bed_id", "sample", "family"], "total_bases")}
     if out_dir:

@@ -169,6 +169,7 @@ def test_sites_are_tallied_where_they_are_decoded(spark, monkeypatch):
             found.unpersist()
     monkeypatch.setattr(extract, "sites", None)  # the reports must not list a row for each pair of a site and a region
     assert api.parse_bam(spark, reads, "s", bed_file=regions)["pileup"].count() > 0
+    assert api.plot_enrichment_profile(spark, reads, "s", regions.where("bed_id = 'b0'"), "A", window_size=30)["profile"].count() > 0
 
 
 def test_many_regions_of_one_chr(spark):
