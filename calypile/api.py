@@ -145,9 +145,9 @@ def plot_enrichment(spark: SparkSession, files, samples, bed_files, basemod: str
     pairs, beds, ids = _many(files, samples, bed_files)
     regions = _union([_regions(spark, b, i) for b, i in zip(beds, ids, strict=True)])
     reads = _union([_reads(spark, f, s, regions=regions) for f, s in pairs])
-    found = extract.sites(reads, regions, basemod, False, 1000, thresh_a, thresh_c, ("bed_id", "sample", "methylated"))
+    found = extract.tallied(reads, regions, basemod, False, 1000, thresh_a, thresh_c, by_bed=True, calls=False)
     grid = spark.createDataFrame([(bed.basename(f) if isinstance(f, str) else s, i, s) for f, s in pairs for i in ids], "file_name string, bed_id string, sample string")
-    sums = C.pileup(found, ["bed_id", "sample"], flag="methylated")
+    sums = extract.tallied_pileup(found, ["bed_id", "sample"])
     m, t = F.coalesce("methylated_bases", F.lit(0)), F.coalesce("total_bases", F.lit(0))
     fractions = grid.join(sums, ["bed_id", "sample"], "left").select("file_name", "bed_id", "sample", F.coalesce(C.fraction(m, t), F.lit(0.0)).alias("fraction_methylated"))
     out = {"enrichment": fractions, "manifest": {}}
@@ -177,8 +177,9 @@ def plot_enrichment_profile(spark: SparkSession, files, samples, bed_files, base
     out = {"profile": C.curve(smooth_rows, ["bed_id", "sample"], "rolling_fraction"), "manifest": {}}
     if not overlay:
         first = extract.tallied_calls(found, extract.names_again(found)) if out_dir else extract.tallied_calls(tallied(True)).persist(StorageLevel.DISK_ONLY)  # read twice, but only if they are asked for
+        few = bool(out_dir) and found.where("lead").limit(C.FEW_READS + 1).count() <= C.FEW_READS
         fam = piled.withColumn("family", mod_family(F.col("mod")))
-        out |= {"molecules": C.points(first, ["sample"]), "base_counts": C.dense_axis(fam, ["bed_id", "sample", "family"], "total_bases")}
+        out |= {"molecules": C.points(first, ["sample"], few=few), "base_counts": C.dense_axis(fam, ["bed_id", "sample", "family"], "total_bases")}
     if out_dir:
         out["manifest"] = figures.write_data({k: v for k, v in out.items() if isinstance(v, DataFrame)}, out_dir)
         by = F.concat_ws(" ", "sample" if len(pairs) > 1 else "bed_id") if overlay else F.col("family")

@@ -23,11 +23,11 @@ FAMILIES = {"A": "#053c5e", "C": "#bb4430"}
 
 
 def write_data(frames: dict[str, DataFrame], folder: str) -> dict[str, str]:
-    """A manifest: the folder of JSON lines of each frame."""
+    """A manifest: the folder of JSON lines of each frame, compressed."""
     out = {}
     for name, df in frames.items():
         out[name] = os.path.join(folder, name)
-        df.write.mode("overwrite").json(out[name])
+        df.write.mode("overwrite").json(out[name], compression="gzip")
     return out
 
 

@@ -17,6 +17,8 @@ THRESHOLD = 129
 LAYERS = 1000
 #: Rows of one window task, and positions of one tile in which rows are numbered.
 BLOCK_ROWS, TILE_BITS = 1 << 16, 16
+#: Reads whose rows are broadcast (some 60 bytes each).
+FEW_READS = 1 << 18
 
 
 def modified(prob: Column, threshold: int = THRESHOLD) -> Column:
@@ -211,8 +213,11 @@ def probability_range(calls: DataFrame, keys: list[str], threshold: int = THRESH
     return fam.groupBy(*keys, "family").agg(F.min("prob").alias("prob_min"), F.max("prob").alias("prob_max"))
 
 
-def points(calls: DataFrame, keys: list[str], order: str = "pos") -> DataFrame:
-    """Single-molecule points: position, read, mod family, and the read's row number by its first position and name."""
+def points(calls: DataFrame, keys: list[str], order: str = "pos", few: bool = False) -> DataFrame:
+    """Single-molecule points: position, read, mod family, and the read's row number by its first position and name.
+
+    few: the reads are at most FEW_READS, so that their rows are broadcast and the calls, many to a read, are not shuffled.
+    """
     reads = calls.where(F.col("read_name").isNotNull()).groupBy(*keys, "read_name").agg(F.min(order).alias("_first"))
     rows = numbered(reads, keys, "_first", ["read_name"]).withColumn("read_row", F.col("_rn")).drop("_rn", "_first")
-    return calls.join(rows, [*keys, "read_name"]).select(*keys, "read_name", "read_row", order, "mod", mod_family(F.col("mod")).alias("family"))
+    return calls.join(F.broadcast(rows) if few else rows, [*keys, "read_name"]).select(*keys, "read_name", "read_row", order, "mod", mod_family(F.col("mod")).alias("family"))

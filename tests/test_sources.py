@@ -300,6 +300,26 @@ def test_reports(spark, files, tmp_path):
     assert report["totals"].first()["n_reads"] == 4
 
 
+def test_figure_data_is_compressed_and_not_shuffled(spark, tmp_path):
+    from calypile.operators import calls as C
+
+    calls = spark.range(40_000).selectExpr("'s' as sample", "concat('read', id % 400) as read_name", "id div 400 - 50 as pos", "'C+m' as mod")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        few, many = C.points(calls, ["sample"], few=True), C.points(calls, ["sample"])
+        assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+        plan = few._jdf.queryExecution().optimizedPlan().toString()
+        assert "broadcast" in plan and "broadcast" not in many._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    folder = figures.write_data({"molecules": few}, str(tmp_path))["molecules"]
+    written = list((tmp_path / "molecules").glob("part-*"))
+    assert written and all(p.name.endswith(".json.gz") for p in written)
+    text = sum(len(json.dumps(r.asDict(), separators=(",", ":"))) + 1 for r in few.collect())
+    assert sum(p.stat().st_size for p in written) < text / 8
+    assert sorted(map(str, spark.read.schema(few.schema).json(folder).collect())) == sorted(map(str, few.collect()))
+
+
 def test_pages_show_all_rows(spark, tmp_path):
     rows = spark.range(20_000).selectExpr("id as x", "cast(id = 19999 as int) as y", "if(id = 19999, 'C', 'A') as family")
     none = rows.where("x < 0")
