@@ -48,8 +48,7 @@ def p4_per_chr(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     loads = table(spark, d, "sample_loads")
-    args = (loads, "load_id", "ingest_seq")
-    return profile.findings(table(spark, d, READS), READS, *args, QUALITY).unionByName(profile.findings(table(spark, d, CALLS), CALLS, *args, PROB))
+    return profile.findings_of([(table(spark, d, READS), READS, QUALITY), (table(spark, d, CALLS), CALLS, PROB)], loads, "load_id", "ingest_seq")
 
 
 def p5_profile(spark: SparkSession, d: str) -> DataFrame:

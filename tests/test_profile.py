@@ -152,3 +152,33 @@ def test_each_table_is_scanned_once(spark, tmp_path):
     spark.createDataFrame([(i, i % 2 + 1, float(i % 50), float(i % 40)) for i in range(600)], "ingest_seq bigint, load_id int, ave_baseq double, ave_alignq double").write.parquet(f"{tmp_path}/{problems.READS}.parquet")
     df = P.findings(spark.read.parquet(f"{tmp_path}/{problems.READS}.parquet"), "t", spark.createDataFrame([(1, "s", 1), (2, "s", 2)], LOADS), "load_id", "ingest_seq", problems.QUALITY)
     assert problems.READS not in df._jdf.queryExecution().optimizedPlan().toString() and problems.READS not in " ".join(df.inputFiles())
+
+
+def test_tables_with_a_column_of_one_name_are_kept_apart(spark, made):
+    """Of tables in one call each column has the findings it has alone."""
+    rows, loads = made
+    x = spark.createDataFrame(rows, SCHEMA)
+    moved = x.selectExpr("ingest_seq", "load_id", "90 - x as y", "x * 2 + load_id % 3 * 10 as x")
+    parts = [(x, "one", {"x": (0, 93)}), (moved, "two", {"y": (0, 93), "x": (0, 255)}), (x.limit(0), "none", {"x": (0, 93)})]
+    table = spark.createDataFrame(loads, LOADS)
+    got = [tuple(r) for r in P.findings_of(parts, table, "load_id", "ingest_seq").collect()]
+    assert len(got) == len(set(got)) and {(a, k) for t, c, k, a in got if t == "one"} == brute(rows, loads)
+    for c, hi in (("x", 255), ("y", 93)):
+        values = [(r["ingest_seq"], r["load_id"], r[c]) for r in moved.collect()]
+        assert {(a, k) for t, n, k, a in got if (t, n) == ("two", c)} == brute(values, loads, 0, hi)
+    assert {t for t, *_ in got} == {"one", "two"}
+
+
+def test_p5_found_runs_in_few_stages(spark):
+    """The driver keeps a thread of each stage for a minute and replans what is left after it; with 122 stages here it came beyond its 1,500 MB."""
+    from calypile.plans import problems
+
+    spark.sparkContext.setJobGroup("p5_found", "")
+    try:
+        problems.p5_found(spark, "/root/testdata/sf0.001").collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.sparkContext.setLocalProperty("spark.job.description", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = sum(len(tracker.getJobInfo(job).stageIds) for job in tracker.getJobIdsForGroup("p5_found"))
+    assert 0 < stages <= 70
